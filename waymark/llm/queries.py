@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from waymark.llm.language_id import op3_language_id
+from waymark.llm.packing import op9_packing
 from waymark.llm.quality import op6_quality
+from waymark.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
     "op6_quality": op6_quality,
+    "op9_packing": op9_packing,
 }
 
 SQL: dict[str, str] = {}
