@@ -10,7 +10,8 @@ there are enough (smallest hashes of doc_id; each half is weighted back to its s
 labels). Features whose presence isn't associated with a grade above 0 (|z| < ``MIN_Z``) get no weight.
 
 Where labels only say toxic or not, ``severity_grades`` makes ordered grades of them: 0 for not
-toxic, and for toxic ones the tercile of associated features per word (1 to 3).
+toxic, and for toxic ones the tercile of their number of associated features (1 to 3). A rate per
+word would suit worse: features are present or not, so no weights could express it.
 
 Edge cases: null or empty text has no words and gets the severity of the thresholds alone; null
 labels are not learned from; a document labelled more than once takes its largest label; without
@@ -33,7 +34,7 @@ from waymark.llm.common import WordHash, sampled_texts, smallest_by_hash, words_
 MAX_ROWS = 12_000
 MIN_Z = 4.0
 MIN_DOCS = 5
-RIDGE = 2e-5
+LASSO = 3e-5
 STEPS = 600
 PREFIXES = (4, 5, 6)
 
@@ -117,7 +118,7 @@ def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, width: int, y: np.n
         dl[y == 0] = 0
         g_t = -np.bincount(np.minimum(y, grades - 2), du, grades - 1) + np.bincount(np.maximum(y - 1, 0), dl, grades - 1)
         g_eta = du - dl
-        g_w = np.bincount(cols, g_eta[rows], width) + RIDGE * w
+        g_w = np.bincount(cols, g_eta[rows], width) + LASSO * w / (np.abs(w) + 0.02)
         tail = np.cumsum(g_t[::-1])[::-1]
         grad = np.concatenate([g_w, [g_t.sum()], tail[1:] * np.exp(gaps)])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -125,23 +126,24 @@ def _fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, width: int, y: np.n
     return params[:width], params[width] + np.concatenate([[0.0], np.cumsum(np.exp(params[width + 1 :]))])
 
 
-def severity_grades(toxic: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """0 for documents that aren't toxic; 1 to 3 by tercile of ``rate`` for those that are."""
+def severity_grades(toxic: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """0 for documents that aren't toxic; 1 to 3 by tercile of ``found`` for those that are, with no
+    grade left out where ties make terciles coincide."""
     grade = np.zeros(len(toxic), np.int64)
     if (toxic > 0).any():
-        cuts = np.quantile(rate[toxic > 0], [1 / 3, 2 / 3])
-        grade[toxic > 0] = 1 + np.searchsorted(cuts, rate[toxic > 0], side="left")
+        cuts = np.quantile(found[toxic > 0], [1 / 3, 2 / 3])
+        grade[toxic > 0] = 1 + np.unique(np.searchsorted(cuts, found[toxic > 0], side="left"), return_inverse=True)[1]
     return grade
 
 
-def train(docs: list[tuple[np.ndarray, int]], y: np.ndarray, weight: np.ndarray, binary: bool) -> Model:
-    """docs: (distinct feature hashes, distinct words); y: grades from 0."""
+def train(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, binary: bool) -> Model:
+    """docs: distinct feature hashes; y: grades from 0."""
     none = Model(np.empty(0, np.uint32), np.empty(0), np.full(1, 50.0))
     if not len(y) or y.max() <= 0:
         return none
-    sizes = np.array([len(d[0]) for d in docs])
+    sizes = np.array([len(d) for d in docs])
     rows = np.repeat(np.arange(len(docs)), sizes)
-    features, cols = np.unique(np.concatenate([d[0] for d in docs]), return_inverse=True)
+    features, cols = np.unique(np.concatenate(docs), return_inverse=True)
     df = np.bincount(cols, minlength=len(features))
     pos = (y > 0).astype(float)
     share = pos.mean()
@@ -151,7 +153,7 @@ def train(docs: list[tuple[np.ndarray, int]], y: np.ndarray, weight: np.ndarray,
     if binary:
         strong = (z >= MIN_Z) & kept
         found = np.bincount(rows, strong[cols].astype(float), len(docs))
-        y = severity_grades(y, found / np.maximum(1, [d[1] for d in docs]))
+        y = severity_grades(y, found)
     grades = int(y.max()) + 1
     place = np.cumsum(kept) - 1
     used = kept[cols]
@@ -173,17 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def rows(batches):
         known = WordFeatures()
         for b in batches:
-            words = [words_of(t) for t in b.column("text").to_pylist()]
-            h = [features_of(w, known).tobytes() for w in words]
-            n = [len(set(w)) for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array(h, pa.binary()), pa.array(n, pa.int64())], ["id", "y", "h", "n"])
+            h = [features_of(words_of(t), known).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array(h, pa.binary())], ["id", "y", "h"])
 
     texts = sampled_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keys.select("id", "y"), "id", "text", ["y"])
-    got = sorted(texts.mapInArrow(rows, "id string, y int, h binary, n bigint").collect(), key=lambda r: r.id)
+    got = sorted(texts.mapInArrow(rows, "id string, y int, h binary").collect(), key=lambda r: r.id)
     y = np.array([r.y for r in got], np.int64)
     seen = np.bincount((y > 0).astype(int), minlength=2)
     weight = np.array([totals.get(int(v > 0), 1) / seen[int(v > 0)] for v in y], float)
-    parts = [(np.frombuffer(r.h, np.uint32), r.n) for r in got]
+    parts = [np.frombuffer(r.h, np.uint32) for r in got]
     return train(parts, y, weight, binary)
 
 
