@@ -19,6 +19,8 @@ all of these are interchangeable.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from bisect import insort
 
@@ -37,26 +39,87 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 ROWS_PER_SALT = 50_000
 
 
-class ChunkIds(dict):
-    """Text between blanks -> its token ids as little-endian uint32 bytes. The tokenizer drops white
-    space and never joins over it, so a text's ids are those of its chunks, in order."""
+_LETTERS = "".join(c for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == "N")
+_BLANKS = "\t\n\v\f\r \x85\xa0"
+#: The tokenizer's own cut into words, for text below U+0300.
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+#: What may be normalised or cut in other ways: left to the tokenizer. Letters below U+0300 are in
+#: composed form already and fold one by one, except the dotted capital I.
+_UNSURE = re.compile("[^\x00-\u012f\u0131-\u02ff]|<\\|")
 
-    LIMIT = 400_000
+
+class WordIds:
+    """Token ids of texts, with the ids of words remembered in two generations of bounded size.
+
+    The tokenizer merges within words only, so a text's ids are those of its words, in order.
+    New words are encoded together; in this vocabulary a word's last token, and no other, is
+    marked as an end, which tells their ids apart again."""
+
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        self[chunk] = raw = np.array(ids, "<u4").tobytes()
-        return raw
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.ends[i] = token.endswith("</w>")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: set[str]) -> None:
+        new = []
+        for w in words:
+            if (known := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                self.young[w] = known
+        if new:
+            ids = self._encode(" ".join(new))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(new) and stops[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(new, (4 * stops).tolist()):
+                    self.young[w] = raw[at:stop]
+                    at = stop
+            else:
+                for w in new:
+                    self.young[w] = self._encode(w).tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        if not text:
+            return b""
+        if _UNSURE.search(text):
+            if "<|" in text:
+                return self._encode(text).tobytes()
+            parts = text.replace("\n", " ").split(" ")
+            return b"".join(self._encode(x).tobytes() if _UNSURE.search(x) else self._known(x) for x in parts if x)
+        return self._known(text)
+
+    def _known(self, text: str) -> bytes:
+        words = _CUT.findall(text.lower())
+        missing = {w for w in words if w not in self.young}
+        if missing:
+            if len(self.young) + len(missing) > self.LIMIT:
+                self.old, self.young = self.young, {}
+                missing = set(words)
+            self.learn(missing)
+        return b"".join(map(self.young.__getitem__, words))
+
+
+_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One per worker and tokenizer: what it remembers serves later tasks."""
+    if path not in _IDS:
+        _IDS[path] = WordIds(path)
+    return _IDS[path]
 
 
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
@@ -64,11 +127,11 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        chunks = ChunkIds(tokenizer)
+        known = word_ids(tokenizer)
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                raw = memoryview(chunks.ids(text) + end)
+                raw = memoryview(known.ids(text) + end)
                 n = len(raw) // 4
                 for at in range(0, n, max_tokens):
                     part = raw[4 * at : 4 * (at + max_tokens)]
