@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from waymark.llm.ann import op5_ann
 from waymark.llm.language_id import op3_language_id
 from waymark.llm.packing import op9_packing
 from waymark.llm.quality import op6_quality
 from waymark.llm.toxicity import op1_toxicity
+from waymark.llm.warc import op10_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
+    "op5_ann": op5_ann,
     "op6_quality": op6_quality,
     "op9_packing": op9_packing,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {}
