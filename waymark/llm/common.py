@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Id tables of up to this many rows (some 16 MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_or_shuffled(stored: DataFrame) -> DataFrame:
+    """A stored id table, with a broadcast hint only if its rows, counted here, are few enough."""
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def id_crc(col: str):
     """crc32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

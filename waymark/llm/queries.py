@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from waymark.llm.ann import op5_ann
 from waymark.llm.language_id import op3_language_id
+from waymark.llm.near_dup import op4_near_dup
 from waymark.llm.packing import op9_packing
 from waymark.llm.quality import op6_quality
 from waymark.llm.secrets import SQL as SECRETS_SQL
@@ -16,6 +17,7 @@ from waymark.llm.warc import op10_warc
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_near_dup": op4_near_dup,
     "op5_ann": op5_ann,
     "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,

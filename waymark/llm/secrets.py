@@ -25,10 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize
+from waymark.llm.common import materialize, small_or_shuffled
 
-#: Candidates up to this many (16 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 MAX_EXACT = 48
 SPANS = "array<struct<start:int,ord:int,stop:int,kind:string,size:int>>"
 
@@ -197,9 +195,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     """The input's columns and ``__secret_spans``: array of struct(start, ord, stop, kind, size) by start, then rule."""
     found, full = candidates(docs, rules, id_col, text_col)
     found = materialize(found, "candidates")
-    few = found.count() <= BROADCAST_ROWS
     marks = found.select(F.col("doc_id").alias("__secret_id"), F.col("rules").alias("__secret_rules"))
-    joined = docs.join(F.broadcast(marks) if few else marks, F.col(id_col) == F.col("__secret_id"), "left")
+    joined = docs.join(small_or_shuffled(marks), F.col(id_col) == F.col("__secret_id"), "left")
     every = (1 << len(rules)) - 1
     bits = F.when(F.col(id_col).isNull(), F.lit(every)).otherwise(F.coalesce("__secret_rules", F.lit(0))).bitwiseOR(F.lit(full))
     ready = joined.withColumns({"__secret_bits": bits, "__secret_text": F.coalesce(F.col(text_col), F.lit(""))})
