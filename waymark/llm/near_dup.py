@@ -282,6 +282,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return sized.join(counts, "class_id", "left").select(F.col("doc_id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each class the document with the least
+    id stays. Rows equal in id and text count as one; rows with a null id all stay."""
+    found = materialize(classes(docs, id_col, text_col), "classes")
+    gone = materialize(found.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    left = docs.join(small_or_shuffled(gone), F.col(id_col) == F.col("__gone"), "left_anti")
+    again = materialize(found.where(F.col("class_id") == F.col(id_col)).groupBy(F.col(id_col).alias("__again")).count().where("count > 1").select("__again"), "again")
+    if again.head() is None:
+        return left
+    twice = left.join(small_or_shuffled(again), F.col(id_col) == F.col("__again"), "left_semi")
+    rest = [F.col(c) for c in docs.columns if c not in (id_col, text_col)]
+    one = twice.groupBy(id_col, text_col).agg(F.min(F.struct(*rest)).alias("__rest")).select(id_col, text_col, "__rest.*") if rest else twice.distinct()
+    once = left.join(small_or_shuffled(again), F.col(id_col) == F.col("__again"), "left_anti")
+    return once.unionByName(one).select(*docs.columns)
+
+
 def _sizes_allow(n: str, m: str):
     """Sets of sizes n and m can't be more similar than the smaller over the larger."""
     return (F.col(n) >= F.col(m) * SIMILARITY - 1e-9) & (F.col(m) >= F.col(n) * SIMILARITY - 1e-9)

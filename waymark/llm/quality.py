@@ -36,6 +36,7 @@ PAIRS = 8
 CYCLES = 120
 PAIR_CYCLES = 60
 RATE = 0.15
+THRESHOLD = 0.7
 
 #: Character classes.
 LOWER, UPPER, DIGIT, SPACE, NEWLINE, STOP, COMMA, BANG, PIPE, SYMBOL, OTHER = range(11)
@@ -230,20 +231,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(x, np.array([r[1] for r in got], float))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per input row: the id (and the ``keep`` columns), with score."""
+def _rows(texts: list[str | None]) -> np.ndarray:
+    return np.stack([features(t) for t in texts]) if texts else np.zeros((0, len(FEATURES)), np.float32)
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: the id, with score."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            p = shared.value.predict(_rows(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p, pa.float64())], [id_col, "score"])
+
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, score double")
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score at least ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [id_col] if keep is None else keep
 
     def run(batches):
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            x = np.stack([features(t) for t in texts]) if texts else np.zeros((0, len(FEATURES)), np.float32)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(shared.value.predict(x), pa.float64())], [*names, "score"])
+            p = shared.value.predict(_rows(b.column(text_col).to_pylist()))
+            yield b.filter(pa.array(p >= threshold, pa.bool_()))
 
-    src = docs.select(*names, F.col(text_col).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
-    return src.mapInArrow(run, f"{schema}, score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def model_of(spark, docs: DataFrame, sf_dir: str) -> Model:
@@ -254,4 +268,4 @@ def model_of(spark, docs: DataFrame, sf_dir: str) -> Model:
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = score(docs, model_of(spark, docs, sf_dir))
-    return found.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return found.select("doc_id", (id_crc("doc_id") % 4 == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from waymark.llm.ann import op5_ann
+from waymark.llm.decontaminate import op2_decontaminate
 from waymark.llm.language_id import op3_language_id
 from waymark.llm.near_dup import op4_near_dup
 from waymark.llm.packing import op9_packing
@@ -16,6 +17,7 @@ from waymark.llm.warc import op10_warc
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op3_language_id": op3_language_id,
     "op4_near_dup": op4_near_dup,
     "op5_ann": op5_ann,
