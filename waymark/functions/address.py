@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.functions.geo import let
 from waymark.functions.text import mask_number, parse_semi_number
 
 MAX_POINTS = 10
@@ -40,23 +41,27 @@ def match_rank(number, wanted, style="standard", prefix: bool = False) -> Column
 
 def matching_points(points, wanted, most: int = MAX_POINTS, prefix: bool = False) -> Column:
     """The points of the best kind of match, in order, at most ``most``; coordinates to six places."""
-    p = _c(points)
-    ranked = F.transform(p, lambda x: F.struct(match_rank(x["num"], wanted, F.coalesce(x["style"], F.lit("standard")), prefix).alias("rank"), x.alias("p")))
-    best = F.array_min(F.transform(ranked, lambda r: r["rank"]))
-    kept = F.filter(ranked, lambda r: r["rank"] == best)
-    return F.slice(F.transform(kept, lambda r: F.struct(r["p"]["num"].alias("num"), geo.half_up(r["p"]["lon"], 6).alias("lon"), geo.half_up(r["p"]["lat"], 6).alias("lat"))), 1, most)
+    w = _c(wanted)
+    ranked = F.transform(_c(points), lambda x: F.struct(match_rank(x["num"], w, F.coalesce(x["style"], F.lit("standard")), prefix).alias("rank"), x.alias("p")))
+
+    def best_of(rows):
+        kept = let(F.array_min(F.transform(rows, lambda r: r["rank"])), lambda best: F.filter(rows, lambda r: r["rank"] == best))
+        place = lambda r: F.struct(r["p"]["num"].alias("num"), geo.half_up(r["p"]["lon"], 6).alias("lon"), geo.half_up(r["p"]["lat"], 6).alias("lat"))
+        return F.slice(F.transform(kept, place), 1, most)
+
+    return let(ranked, best_of)
 
 
 def prefix_points(points, typed, lon=None, lat=None) -> Column:
     """Of the points that a number typed so far may become: the first, middle and last by number, and
     of these the one closest to a proximity point, if there is one."""
     found = F.array_sort(F.transform(matching_points(points, typed, 1 << 20, True), lambda p: F.struct(parse_semi_number(p["num"]).alias("n"), p["num"].alias("num"), p["lon"].alias("lon"), p["lat"].alias("lat"))))
-    n = F.size(found)
-    chosen = F.when(n > 2, F.array(F.get(found, F.lit(0)), F.get(found, F.floor(n / 2).cast("int")), F.get(found, n - 1))).otherwise(found)
+    three = lambda f: F.when(F.size(f) > 2, F.array(F.get(f, F.lit(0)), F.get(f, F.floor(F.size(f) / 2).cast("int")), F.get(f, F.size(f) - 1))).otherwise(f)
+    chosen = let(found, three)
     if lon is None:
         return chosen
-    near = F.array_min(F.transform(chosen, lambda p: F.struct(geo.distance_miles(lon, lat, p["lon"], p["lat"]).alias("d"), p.alias("p"))))
-    return F.when(n > 0, F.array(near["p"])).otherwise(chosen)
+    near = lambda c: F.array_min(F.transform(c, lambda p: F.struct(geo.distance_miles(lon, lat, p["lon"], p["lat"]).alias("d"), p.alias("p"))))["p"]
+    return let(chosen, lambda c: F.when(F.size(c) > 0, F.array(near(c))).otherwise(c))
 
 
 def nearest_point(points, lon, lat) -> Column:
@@ -78,33 +83,47 @@ def on_range(ranges, number) -> Column:
     """struct(lon, lat, omitted) of a house number on ranges: the last range, in order of numbers, that holds
     it with its parity, left side first; else, marked omitted, the first that holds it at all, or the
     closest range end within 400 numbers. Null otherwise."""
-    n = F.regexp_replace(_c(number).cast("string"), r"^(\d*)\D", "$1").cast("double")
+    wanted = F.regexp_replace(_c(number).cast("string"), r"^(\d*)\D", "$1").try_cast("double")
+    sides = ("lf", "rf", "lt", "rt")
     ordered = F.array_sort(
         F.transform(
-            F.filter(_c(ranges), lambda r: F.coalesce(r["lf"], F.lit(0)) + F.coalesce(r["rf"], F.lit(0)) + F.coalesce(r["lt"], F.lit(0)) + F.coalesce(r["rt"], F.lit(0)) != 0),
-            lambda r: F.struct(r["lf"].alias("lf"), r["rf"].alias("rf"), r["lt"].alias("lt"), r["rt"].alias("rt"), F.size(r["line"]).alias("size"), r["i"].alias("i"), r["lp"].alias("lp"), r["rp"].alias("rp"), r["line"].alias("line")),
+            F.filter(_c(ranges), lambda r: F.greatest(*[F.coalesce(r[k], F.lit(0)) for k in sides]) > 0),
+            lambda r: F.struct(*[r[k].alias(k) for k in sides], F.size(r["line"]).alias("size"), r["i"].alias("i"), r["lp"].alias("lp"), r["rp"].alias("rp"), r["line"].alias("line")),
         )
     )
-    left = lambda r: _within(n, r["lf"], r["lt"])
-    right = lambda r: _within(n, r["rf"], r["rt"])
-    strict_left = lambda r: F.coalesce(left(r) & _parity(n, r["lp"]), F.lit(False))
-    strict = F.element_at(F.filter(ordered, lambda r: strict_left(r) | F.coalesce(right(r) & _parity(n, r["rp"]), F.lit(False))), -1)
-    loose = F.get(F.filter(ordered, lambda r: F.coalesce(left(r) | right(r), F.lit(False))), F.lit(0))
-    place = lambda r, use_left, omitted: F.struct(
-        *[geo.interpolate(n, F.when(use_left, r["lf"]).otherwise(r["rf"]), F.when(use_left, r["lt"]).otherwise(r["rt"]), r["line"])[k].alias(k) for k in ("lon", "lat")], F.lit(omitted).alias("omitted")
-    )
-    ends = F.flatten(
-        F.transform(
-            F.reverse(ordered),
-            lambda r, i: F.transform(
-                F.array(F.struct(r["lf"].alias("hn"), F.lit(0).alias("v")), F.struct(r["lt"].alias("hn"), F.lit(1).alias("v")), F.struct(r["rf"].alias("hn"), F.lit(0).alias("v")), F.struct(r["rt"].alias("hn"), F.lit(1).alias("v"))),
-                lambda e, j: F.struct(F.abs(n - e["hn"]).alias("gap"), (-(i * 4 + j)).alias("late"), F.get(r["line"], e["v"]).alias("p")),
-            ),
+
+    def classed(v):
+        """Per range: 2 with its parity, 1 without, 0 not held; whether by its left side."""
+        n = v["n"]
+
+        def one(r):
+            left, right = F.coalesce(_within(n, r["lf"], r["lt"]), F.lit(False)), F.coalesce(_within(n, r["rf"], r["rt"]), F.lit(False))
+            strict_left = left & F.coalesce(_parity(n, r["lp"]), F.lit(False))
+            kind = F.when(strict_left, 2).when(right & F.coalesce(_parity(n, r["rp"]), F.lit(False)), 2).when(left | right, 1).otherwise(0)
+            return F.struct(kind.alias("kind"), strict_left.alias("strict_left"), left.alias("left"), r.alias("r"))
+
+        return F.struct(n.alias("n"), F.transform(v["o"], one).alias("o"))
+
+    def choose(v):
+        strict = F.try_element_at(F.filter(v["o"], lambda c: c["kind"] == 2), F.lit(-1))
+        loose = F.get(F.filter(v["o"], lambda c: c["kind"] == 1), F.lit(0))
+        pick = lambda c, left, omitted: F.struct(F.when(left, c["r"]["lf"]).otherwise(c["r"]["rf"]).alias("a"), F.when(left, c["r"]["lt"]).otherwise(c["r"]["rt"]).alias("b"), c["r"]["line"].alias("line"), F.lit(omitted).alias("omitted"))
+        held = let(F.struct(strict.alias("s"), loose.alias("l")), lambda z: F.when(z["s"].isNotNull(), pick(z["s"], z["s"]["strict_left"], False)).when(z["l"].isNotNull(), pick(z["l"], z["l"]["left"], True)))
+        ends = F.flatten(
+            F.transform(
+                F.reverse(v["o"]),
+                lambda c, i: F.transform(
+                    F.array(*[F.struct(c["r"][k].alias("hn"), F.lit(at).alias("at")) for k, at in (("lf", 0), ("lt", 1), ("rf", 0), ("rt", 1))]),
+                    lambda e, j: F.struct(F.abs(v["n"] - e["hn"]).alias("gap"), (-(i * 4 + j)).alias("late"), F.get(c["r"]["line"], e["at"]).alias("p")),
+                ),
+            )
         )
-    )
-    end = F.array_min(F.filter(ends, lambda e: e["gap"].isNotNull()))
-    near = F.when(end["gap"] <= NEAR_NUMBER, F.struct(geo.half_up(end["p"]["lon"], 6).alias("lon"), geo.half_up(end["p"]["lat"], 6).alias("lat"), F.lit(True).alias("omitted")))
-    return F.when(strict.isNotNull(), place(strict, strict_left(strict), False)).when(loose.isNotNull(), place(loose, F.coalesce(left(loose), F.lit(False)), True)).otherwise(near)
+        end = F.array_min(F.filter(ends, lambda e: e["gap"].isNotNull()))
+        near = let(end, lambda e: F.when(e["gap"] <= NEAR_NUMBER, F.struct(geo.half_up(e["p"]["lon"], 6).alias("lon"), geo.half_up(e["p"]["lat"], 6).alias("lat"), F.lit(True).alias("omitted"))))
+        placed = lambda h: let(geo.interpolate(v["n"], h["a"], h["b"], h["line"]), lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), h["omitted"].alias("omitted")))
+        return let(held, lambda h: F.when(h.isNotNull(), placed(h)).otherwise(near))
+
+    return let(F.struct(wanted.alias("n"), ordered.alias("o")), lambda v: let(classed(v), choose))
 
 
 def number_on_range(low, high, share, parity) -> Column:
@@ -116,40 +135,54 @@ def number_on_range(low, high, share, parity) -> Column:
 def nearest_on_line(line, lon, lat) -> Column:
     """struct(dist, share, lon, lat, side): closest place of a line to a position on a local plane; share of the line's
     length up to it; side of the line: 1 left, -1 right, 0 on it."""
-    ln = _c(line)
-    k = F.cos(F.radians(_c(lat)))
-    x, y = _c(lon) * k, _c(lat)
-    seg = F.transform(
-        F.sequence(F.lit(0), F.size(ln) - 2),
-        lambda i: F.struct((F.get(ln, i)["lon"] * k).alias("ax"), F.get(ln, i)["lat"].alias("ay"), (F.get(ln, i + 1)["lon"] * k).alias("bx"), F.get(ln, i + 1)["lat"].alias("by"), i.alias("i")),
-    )
-    length = lambda s: F.sqrt(F.pow(s["bx"] - s["ax"], 2) + F.pow(s["by"] - s["ay"], 2))
-    def project(s):
-        t = F.coalesce(((x - s["ax"]) * (s["bx"] - s["ax"]) + (y - s["ay"]) * (s["by"] - s["ay"])) / F.nullif(F.pow(length(s), 2), F.lit(0.0)), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        px, py = s["ax"] + (s["bx"] - s["ax"]) * t, s["ay"] + (s["by"] - s["ay"]) * t
-        det = (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
-        return F.struct(F.sqrt(F.pow(px - x, 2) + F.pow(py - y, 2)).alias("d"), s["i"].alias("i"), (length(s) * t).alias("into"), (px / k).alias("lon"), py.alias("lat"), F.signum(det).cast("int").alias("side"))
-    best = F.array_min(F.transform(seg, project))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    before = add(F.transform(F.slice(seg, F.lit(1), best["i"]), length)) + best["into"]
-    whole = add(F.transform(seg, length))
-    return F.struct(
-        geo.distance_miles(lon, lat, best["lon"], best["lat"]).alias("dist"), F.coalesce(before / F.nullif(whole, F.lit(0.0)), F.lit(0.0)).alias("share"),
-        best["lon"].alias("lon"), best["lat"].alias("lat"), best["side"].alias("side"),
-    )
+
+    def placed(v):
+        k, ln = F.cos(F.radians(v["lat"])), v["l"]
+        x, y = v["lon"] * k, v["lat"]
+        seg = F.transform(
+            F.sequence(F.lit(0), F.size(ln) - 2),
+            lambda i: F.struct((F.get(ln, i)["lon"] * k).alias("ax"), F.get(ln, i)["lat"].alias("ay"), (F.get(ln, i + 1)["lon"] * k).alias("bx"), F.get(ln, i + 1)["lat"].alias("by"), i.alias("i")),
+        )
+        length = lambda s: F.sqrt(F.pow(s["bx"] - s["ax"], 2) + F.pow(s["by"] - s["ay"], 2))
+
+        def project(s):
+            raw = F.coalesce(((x - s["ax"]) * (s["bx"] - s["ax"]) + (y - s["ay"]) * (s["by"] - s["ay"])) / F.nullif(F.pow(length(s), 2), F.lit(0.0)), F.lit(0.0))
+
+            def at(t):
+                px, py = s["ax"] + (s["bx"] - s["ax"]) * t, s["ay"] + (s["by"] - s["ay"]) * t
+                det = (s["bx"] - s["ax"]) * (y - s["ay"]) - (s["by"] - s["ay"]) * (x - s["ax"])
+                return F.struct(F.sqrt(F.pow(px - x, 2) + F.pow(py - y, 2)).alias("d"), s["i"].alias("i"), (length(s) * t).alias("into"), (px / k).alias("lon"), py.alias("lat"), F.signum(det).cast("int").alias("side"))
+
+            return let(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), at)
+
+        add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, w: s + w)
+
+        def finish(z):
+            before = add(F.slice(z["lengths"], F.lit(1), z["best"]["i"])) + z["best"]["into"]
+            share = F.coalesce(before / F.nullif(add(z["lengths"]), F.lit(0.0)), F.lit(0.0))
+            return F.struct(
+                geo.distance_miles(v["lon"], v["lat"], z["best"]["lon"], z["best"]["lat"]).alias("dist"), share.alias("share"),
+                z["best"]["lon"].alias("lon"), z["best"]["lat"].alias("lat"), z["best"]["side"].alias("side"),
+            )
+
+        return let(let(seg, lambda g: F.struct(F.array_min(F.transform(g, project)).alias("best"), F.transform(g, length).alias("lengths"))), finish)
+
+    return let(F.struct(_c(line).alias("l"), _c(lon).cast("double").alias("lon"), _c(lat).cast("double").alias("lat")), placed)
 
 
 def reverse_range(ranges, lon, lat) -> Column:
     """struct(number, lon, lat, dist) of the range closest to a position: its number by share of the line and
     side; the other side where that side has no parity."""
-    ranked = F.transform(_c(ranges), lambda r: F.struct(nearest_on_line(r["line"], lon, lat).alias("at"), r["lf"].alias("lf"), r["lt"].alias("lt"), r["rf"].alias("rf"), r["rt"].alias("rt"), r["lp"].alias("lp"), r["rp"].alias("rp")))
-    best = F.array_min(ranked)
-    some = lambda p: F.coalesce(p != "", F.lit(False))
-    left = F.when(best["at"]["side"] > 0, some(best["lp"]) | ~some(best["rp"])).otherwise(~some(best["rp"]))
-    side = lambda a, b: F.when(left, best[a]).otherwise(best[b])
-    number = F.when(some(side("lp", "rp")), number_on_range(side("lf", "rf"), side("lt", "rt"), best["at"]["share"], side("lp", "rp")))
-    return F.when(F.size(_c(ranges)) > 0, F.struct(number.alias("number"), best["at"]["lon"].alias("lon"), best["at"]["lat"].alias("lat"), best["at"]["dist"].alias("dist")))
+    ranked = F.transform(_c(ranges), lambda r: F.struct(nearest_on_line(r["line"], lon, lat).alias("at"), *[r[k].alias(k) for k in ("lf", "lt", "rf", "rt", "lp", "rp")]))
+
+    def numbered(best):
+        some = lambda p: F.coalesce(p != "", F.lit(False))
+        left = F.when(best["at"]["side"] > 0, some(best["lp"]) | ~some(best["rp"])).otherwise(~some(best["rp"]))
+        picked = lambda lf: F.struct(*[F.when(lf, best[f"l{k}"]).otherwise(best[f"r{k}"]).alias(k) for k in "ftp"])
+        number = let(let(left, picked), lambda s: F.when(some(s["p"]), number_on_range(s["f"], s["t"], best["at"]["share"], s["p"])))
+        return F.struct(number.alias("number"), best["at"]["lon"].alias("lon"), best["at"]["lat"].alias("lat"), best["at"]["dist"].alias("dist"))
+
+    return F.when(F.size(_c(ranges)) > 0, let(F.array_min(ranked), numbered))
 
 
 def number_buckets(numbers) -> Column:

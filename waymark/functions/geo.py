@@ -18,6 +18,11 @@ def _c(v) -> Column:
     return F.col(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(v)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value computed once: expressions that mention it often stay small."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def half_up(x: Column, places: int = 0) -> Column:
     """Rounding with halves towards plus infinity, as wanted for longitudes too."""
     return F.floor(x * 10**places + 0.5) / 10**places if places else F.floor(x + 0.5)
@@ -172,21 +177,37 @@ def in_ring(lon, lat, ring: Column) -> Column:
 def along(line: Column, part) -> Column:
     """Point at a fraction of a line's length (in degrees, straight), rounded to six places.
     ``line``: array of struct(lon, lat)."""
-    step = lambda i: F.sqrt(F.pow(F.get(line, i)["lon"] - F.get(line, i - 1)["lon"], 2) + F.pow(F.get(line, i)["lat"] - F.get(line, i - 1)["lat"], 2))
+    return let(F.struct(line.alias("l"), _c(part).cast("double").alias("part")), lambda v: let(_lengths(v["l"]), lambda run: _at(v["l"], run, v["part"])))
+
+
+def _lengths(line: Column) -> Column:
+    """Length of the line up to each of its points."""
+    step = lambda p, q: F.sqrt(F.pow(p["lon"] - q["lon"], 2) + F.pow(p["lat"] - q["lat"], 2))
+    indexes = F.when(F.size(line) > 1, F.sequence(F.lit(1), F.size(line) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(indexes, F.array(F.lit(0.0)), lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + step(F.get(line, i), F.get(line, i - 1))))
+
+
+def _at(line: Column, run: Column, part: Column) -> Column:
+    goal = part * F.element_at(run, -1)
     n = F.size(line)
-    run = F.aggregate(F.sequence(F.lit(1), n - 1), F.array(F.lit(0.0)), lambda acc, i: F.array_append(acc, F.element_at(acc, -1) + step(i)))
-    goal = _c(part) * F.element_at(run, -1)
-    beyond = F.filter(F.sequence(F.lit(1), n - 1), lambda i: (F.get(run, i) > goal) | (i == n - 1))
-    stop = F.get(beyond, F.lit(0))
-    span = F.get(run, stop) - F.get(run, stop - 1)
-    share = F.when(span != 0, (goal - F.get(run, stop - 1)) / span).otherwise(1.0)
-    at = lambda k: half_up(F.get(line, stop)[k] * share + F.get(line, stop - 1)[k] * (1 - share), 6)
-    return F.struct(at("lon").alias("lon"), at("lat").alias("lat"))
+    stop = F.get(F.filter(F.sequence(F.lit(1), n - 1), lambda i: (F.get(run, i) > goal) | (i == n - 1)), F.lit(0))
+
+    def point(i: Column) -> Column:
+        span = F.get(run, i) - F.get(run, i - 1)
+        share = F.when(span != 0, (goal - F.get(run, i - 1)) / span).otherwise(1.0)
+        at = lambda k, t: half_up(F.get(line, i)[k] * t + F.get(line, i - 1)[k] * (1 - t), 6)
+        return let(share, lambda t: F.struct(at("lon", t).alias("lon"), at("lat", t).alias("lat")))
+
+    return let(stop, point)
 
 
 def interpolate(number, start, end, line: Column) -> Column:
     """Point of a house number on a range: the line is walked from the smaller number."""
-    a, b = _c(start).cast("double"), _c(end).cast("double")
-    low, high = F.least(a, b), F.greatest(a, b)
-    part = F.when(high > low, (_c(number) - low) / (high - low)).otherwise(0.0)
-    return along(F.when(a > b, F.reverse(line)).otherwise(line), part)
+    args = F.struct(_c(number).cast("double").alias("n"), _c(start).cast("double").alias("a"), _c(end).cast("double").alias("b"), line.alias("l"))
+
+    def place(v):
+        low, high = F.least(v["a"], v["b"]), F.greatest(v["a"], v["b"])
+        part = F.when(high > low, (v["n"] - low) / (high - low)).otherwise(0.0)
+        return along(F.when(v["a"] > v["b"], F.reverse(v["l"])).otherwise(v["l"]), part)
+
+    return let(args, place)

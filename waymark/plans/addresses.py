@@ -1,0 +1,48 @@
+"""Address queries: a street by its name, then the house number on it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from waymark.config import Options
+from waymark.functions import address
+from waymark.functions.text import number_variants
+from waymark.operators import match
+from waymark.operators.index import Index
+from waymark.plans import geocode
+from waymark.sources.scratch import materialize
+
+HYPOTHESES = 100
+
+
+def forward_address(queries: DataFrame, streets: DataFrame, index: Index, options: Options | None = None) -> DataFrame:
+    """query_id, rank, id, address, place_name, relevance, lon, lat, omitted, interpolated for queries with a house number.
+
+    ``streets``: source, id, points (array of struct(num, lon, lat, style)) and ranges (array of struct(i, lf, lt, rf, rt, lp,
+    rp, line)), either of which may be null. Every number of a query is tried as the house number, the words left
+    are geocoded as the rest; a number found as a point goes before one placed on a range, an earlier
+    number before a later."""
+    o = options or Options()
+    asked = match.tokenized(queries).select("query_id", F.explode(number_variants("tokens")).alias("v"))
+    rest = asked.select(
+        (F.col("query_id") * HYPOTHESES + F.col("v.position")).alias("h"), "query_id", F.col("v.number").alias("number"), F.col("v.position").alias("position"),
+        F.array_join(F.filter(F.col("v.tokens"), lambda t, i: i != F.col("v.position")), " ").alias("query"),
+    )
+    rest = materialize(rest.where("query <> ''"), "hypotheses")
+    found = geocode.forward(rest.select(F.col("h").alias("query_id"), "query"), index, o).withColumnRenamed("query_id", "h")
+    hits = found.join(rest.select("h", "query_id", "number", "position"), "h").withColumns({"source": F.split("id", r"\.")[0], "fid": F.split("id", r"\.")[1].cast("bigint")})
+    kinds = F.broadcast(index.sources.select(F.element_at("types", -1).alias("type"), F.col("source").alias("layer")))  # a row per layer
+    hits = hits.join(kinds, hits["source"] == kinds["type"]).drop("source", "type")
+    s = streets.select(F.col("source").alias("layer"), F.col("id").alias("fid"), "points", "ranges")
+    met = hits.join(s, ["layer", "fid"])
+    point = address.matching_points(F.coalesce("points", F.array().cast(streets.schema["points"].dataType)), F.col("number"))
+    placed = address.on_range(F.coalesce("ranges", F.array().cast(streets.schema["ranges"].dataType)), "number")
+    met = met.withColumns({"p": F.get(point, F.lit(0)), "r": placed}).where(F.col("p").isNotNull() | F.col("r").isNotNull())
+    rows = met.select(
+        "query_id", "position", "id", F.col("number").alias("address"), F.concat_ws(" ", "number", "place_name").alias("place_name"), "relevance",
+        F.coalesce("p.lon", "r.lon").alias("lon"), F.coalesce("p.lat", "r.lat").alias("lat"), F.when(F.col("p").isNull(), F.col("r.omitted")).otherwise(False).alias("omitted"), F.col("p").isNull().alias("interpolated"), "rank",
+    )
+    w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.col("omitted").cast("int"), "position", F.col("interpolated").cast("int"), "rank", "id")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= o.limit).drop("position")
