@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import materialize
+from waymark.llm.common import arrow_map, materialize
 
 SAMPLE_ROWS = 16_384
 SEED_ROWS = 2_048
@@ -72,7 +72,7 @@ def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                     out.append(a.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
 
-    return table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(run, "vec_id bigint, v binary")
+    return arrow_map(table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), run, "vec_id bigint, v binary")
 
 
 def _matrix(raw, dim: int) -> np.ndarray:
@@ -170,7 +170,7 @@ def nearest(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_
             near = (turned @ shared.value.centres.T).argmax(1)
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(near, pa.int32())], ["vec_id", "v", "list"])
 
-    listed = materialize(vectors.select("vec_id", "v").mapInArrow(assign, "vec_id bigint, v binary, list int"), "lists")
+    listed = materialize(arrow_map(vectors.select("vec_id", "v"), assign, "vec_id bigint, v binary, list int"), "lists")
     sizes = np.zeros(len(index.centres), np.int64)
     for r in listed.groupBy("list").count().collect():  # at most MAX_LISTS rows
         sizes[r["list"]] = r["count"]
@@ -201,7 +201,7 @@ def nearest(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_
 
     queries = vectors.where(is_query).select("vec_id", "v")
     n_chunks = 1 + queries.count() // QUERY_ROWS
-    routed = queries.mapInArrow(route, "query_id bigint, q binary, list int, limit double")
+    routed = arrow_map(queries, route, "query_id bigint, q binary, list int, limit double")
     of_list = F.array(*[F.lit(n) for n in blocks])
     per_list = F.element_at(of_list, F.col("list") + 1)
     left = routed.withColumns({"chunk": F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int"), "block": F.explode(F.sequence(F.lit(0), per_list - 1))})

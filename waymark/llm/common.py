@@ -45,6 +45,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows of a text table that a Python worker holds at once, and their bytes.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches small enough for long texts. The limits are settings of the session,
+    read when the query is planned; smaller ones of the caller's stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(fn, schema)
+
+
 def small_or_shuffled(stored: DataFrame) -> DataFrame:
     """A stored id table, with a broadcast hint only if its rows, counted here, are few enough."""
     return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import words_of
+from waymark.llm.common import arrow_map, words_of
 
 SEED = 3
 RARE = 0.3
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
         found = np.flatnonzero(totals[1:])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1)), pa.array(np.append(totals[1:][found], every))], ["word", "n"])
 
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = arrow_map(docs.select(F.col(text_col).alias("text")), count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts, total = np.zeros(len(seeds.vocab), np.int64), 0
     for r in counted.collect():  # one row per word of the benchmark
         if r.word < 0:
@@ -202,7 +202,7 @@ def leaks(docs: DataFrame, seeds: Seeds, id_col: str = "doc_id", text_col: str =
 
     src = docs.select(*names, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text")
-    return src.mapInArrow(run, f"{schema}, item_id bigint, score double, word_start bigint, word_end bigint")
+    return arrow_map(src, run, f"{schema}, item_id bigint, score double, word_start bigint, word_end bigint")
 
 
 def clean(docs: DataFrame, seeds: Seeds, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -224,7 +224,7 @@ def clean(docs: DataFrame, seeds: Seeds, text_col: str = "text", min_score: floa
                 )
             yield b.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import id_crc, sampled_texts, smallest_by_hash
+from waymark.llm.common import arrow_map, id_crc, sampled_texts, smallest_by_hash
 
 ORDERS = (2, 3, 4)
 BITS = 15
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array(out_lang, pa.string()), pa.array(out_bits, pa.binary())], ["lang", "bits"])
 
     texts = sampled_texts(labelled.select("id", "text"), keys, "id", "text", ["lang"])
-    rows = sorted((r.lang, bytes(r.bits)) for r in texts.mapInArrow(pack, "lang string, bits binary").collect())
+    rows = sorted((r.lang, bytes(r.bits)) for r in arrow_map(texts, pack, "lang string, bits binary").collect())
     rng = np.random.default_rng(7)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     flags = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
@@ -177,7 +177,7 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return arrow_map(src, run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import materialize, mix64, shingles, small_or_shuffled
+from waymark.llm.common import arrow_map, materialize, mix64, shingles, small_or_shuffled
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -155,7 +155,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int32())), pa.array(digest, pa.binary()), pa.array(n, pa.int32()), lists], ["doc_id", "digest", "n", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, digest binary, n int, bands array<bigint>")
+    return arrow_map(docs, run, f"doc_id {kind}, digest binary, n int, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["id", "s"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(small_or_shuffled(ids), docs.doc_id == ids.id, "left_semi").mapInArrow(run, f"id {kind}, s binary")
+    return arrow_map(docs.join(small_or_shuffled(ids), docs.doc_id == ids.id, "left_semi"), run, f"id {kind}, s binary")
 
 
 def _shingle_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def _shingle_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(e), len(e)), pa.int32()), pa.array(e)], ["id", "n", "e"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.join(small_or_shuffled(ids), docs.doc_id == ids.id, "left_semi").mapInArrow(run, f"id {kind}, n int, e bigint")
+    return arrow_map(docs.join(small_or_shuffled(ids), docs.doc_id == ids.id, "left_semi"), run, f"id {kind}, n int, e bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -200,7 +200,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
     kind = pairs.schema["a"].dataType.simpleString()
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return arrow_map(both, run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:

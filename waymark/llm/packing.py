@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import materialize
+from waymark.llm.common import arrow_map, materialize
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -145,7 +145,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return arrow_map(src, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def shortest_pack_first(histogram: dict[int, int], max_tokens: int) -> list[tuple[tuple[int, ...], int]]:

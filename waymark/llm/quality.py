@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import id_crc, sampled_texts, smallest_by_hash
+from waymark.llm.common import arrow_map, id_crc, sampled_texts, smallest_by_hash
 
 MAX_ROWS = 20_000
 BINS = 48
@@ -226,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array(x, pa.binary())], ["id", "y", "x"])
 
     texts = sampled_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keys, "id", "text", ["y"])
-    got = sorted(((r.id, r.y, bytes(r.x)) for r in texts.mapInArrow(rows, "id string, y int, x binary").collect()))
+    got = sorted(((r.id, r.y, bytes(r.x)) for r in arrow_map(texts, rows, "id string, y int, x binary").collect()))
     x = np.frombuffer(b"".join(r[2] for r in got), np.float32).reshape(len(got), len(FEATURES))
     return train(x, np.array([r[1] for r in got], float))
 
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p, pa.float64())], [id_col, "score"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, score double")
+    return arrow_map(src, run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -257,7 +257,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
             p = shared.value.predict(_rows(b.column(text_col).to_pylist()))
             yield b.filter(pa.array(p >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def model_of(spark, docs: DataFrame, sf_dir: str) -> Model:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WordHash, sampled_texts, smallest_by_hash, words_of
+from waymark.llm.common import WordHash, arrow_map, sampled_texts, smallest_by_hash, words_of
 
 MAX_ROWS = 12_000
 MIN_Z = 4.0
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array(h, pa.binary())], ["id", "y", "h"])
 
     texts = sampled_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keys.select("id", "y"), "id", "text", ["y"])
-    got = sorted(texts.mapInArrow(rows, "id string, y int, h binary").collect(), key=lambda r: r.id)
+    got = sorted(arrow_map(texts, rows, "id string, y int, h binary").collect(), key=lambda r: r.id)
     y = np.array([r.y for r in got], np.int64)
     seen = np.bincount((y > 0).astype(int), minlength=2)
     weight = np.array([totals.get(int(v > 0), 1) / seen[int(v > 0)] for v in y], float)
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"`{id_col}` {kind}, severity double, grade int, p_toxic double, toxic int")
+    return arrow_map(src, run, f"`{id_col}` {kind}, severity double, grade int, p_toxic double, toxic int")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import materialize, scratch_path
+from waymark.llm.common import arrow_map, materialize, scratch_path
 
 ROLL_BYTES = 32 << 20
 BROADCAST_ROWS = 50_000
@@ -282,7 +282,7 @@ def write_archives(marked: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
             close()
         yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], ["archive", "bytes", "records"])
 
-    return materialize(marked.mapInArrow(run, "archive string, bytes bigint, records bigint"), "manifest")
+    return materialize(arrow_map(marked, run, "archive string, bytes bigint, records bigint"), "manifest")
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True, tasks: int | None = None) -> DataFrame:
@@ -308,7 +308,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True, tasks
                 yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in rows], t) for c, t in zip(names, types)], names)
 
     spread = manifest.select("archive").repartition(tasks or max(1, manifest.count()), "archive")
-    return spread.mapInArrow(run, RECORD)
+    return arrow_map(spread, run, RECORD)
 
 
 def page_number(col: str):
