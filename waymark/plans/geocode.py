@@ -34,7 +34,7 @@ def forward(queries: DataFrame, index: Index, options: Options | None = None) ->
         F.map_from_entries(F.transform(F.arrays_zip("entries", "balanced"), lambda z: F.struct(z["entries"]["ndx"], F.struct(z["balanced"].alias("relev"), z["entries"]["mask"].alias("mask"), z["entries"]["phrase"].alias("phrase"), z["entries"]["zoom"].alias("zoom"))))).alias("by_layer"),
     )
     sources = F.broadcast(index.sources.select("source", "idx", "ndx", "types", "address_order", "zoom"))  # a row per layer
-    features = index.features.join(sources, "source").select("source", "idx", "ndx", "types", "address_order", "id", "text", "lon", "lat", "score")
+    features = index.features.select("source", "id", "text", "lon", "lat", "score").join(sources, "source").select("source", "idx", "ndx", "types", "address_order", "id", "text", "lon", "lat", "score")
     loaded = top.join(features, ["idx", "id"]).where(filters.in_bbox(o.bbox))
     if o.types:
         loaded = loaded.where(F.arrays_overlap("types", F.array(*[F.lit(t) for t in o.types])))
