@@ -4,7 +4,7 @@ Every step is keyed by query_id, so a batch of queries is one job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +31,27 @@ def spans(queries: DataFrame) -> DataFrame:
     return rows.select("query_id", "n", "mask", F.size(part).alias("size"), F.array_join(part, " ").alias("phrase"), (F.col("mask") >= bits.power_of_two(F.col("n") - 1)).alias("ender"))
 
 
+def owned(owner, mask) -> Column:
+    """Whether a span starts and ends where tokens of the query as typed do: replacements share their owner."""
+    o = F.col(owner) if isinstance(owner, str) else owner
+    first = bits.low_bit(mask)
+    last = first + F.bit_count(F.col(mask) if isinstance(mask, str) else mask) - 1
+    same = lambda i, j: F.coalesce(F.get(o, i) == F.get(o, j), F.lit(False)) & (i >= 0)
+    return ~same(first - 1, first) & ~same(last + 1, last)
+
+
+def not_only_number(phrase) -> Column:
+    """In address layers a house number by itself is no match."""
+    return ~F.rlike(F.col(phrase) if isinstance(phrase, str) else phrase, F.lit("^[0-9#]+$"))
+
+
+def without_single_letters(matches: DataFrame) -> DataFrame:
+    """One-letter phrases go where a query has longer ones of the same layer."""
+    w = Window.partitionBy("query_id", "source")
+    longer = F.max((F.length("phrase") > 1).cast("int")).over(w)
+    return matches.withColumn("_l", longer).where((F.length("phrase") > 1) | (F.col("_l") == 0)).drop("_l")
+
+
 def exact_matches(asked: DataFrame, phrases: DataFrame) -> DataFrame:
     return asked.withColumnRenamed("phrase", "asked").join(phrases, F.col("asked") == F.col("phrase")).withColumns({"distance": F.lit(0), "prefix": F.lit(False)})
 
