@@ -89,7 +89,7 @@ def smallest_by_hash(df: DataFrame, id_col: str, per: list[str], k: int) -> Data
 class WordHash(dict):
     """word -> unsigned 64-bit hash, remembered up to a fixed number of words."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

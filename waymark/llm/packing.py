@@ -56,7 +56,7 @@ class WordIds:
     New words are encoded together; in this vocabulary a word's last token, and no other, is
     marked as an end, which tells their ids apart again."""
 
-    LIMIT = 600_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -73,6 +73,8 @@ class Model:
         class Weighted(WordHash):
             """word -> those of its features that have a weight"""
 
+            LIMIT = 300_000
+
             def __missing__(self, word):
                 if len(self) >= self.LIMIT:
                     self.clear()
