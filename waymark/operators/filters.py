@@ -30,6 +30,11 @@ def of_stacks(stacks: list[str] | None, stack: str = "stack") -> Column:
     return F.lit(True) if not stacks else F.col(stack).isNull() | F.col(stack).isin(stacks)
 
 
+def of_any_stack(stacks: list[str], stack: str = "stack") -> Column:
+    """Sources (``stack``: array) that are of one of the stacks, or of none in particular."""
+    return (F.size(stack) == 0) | F.arrays_overlap(stack, F.array(*[F.lit(s) for s in stacks]))
+
+
 def in_score_range(score: str, lo: float, hi: float) -> Column:
     """Range of reverse queries: open below, closed above."""
     return (F.col(score) > lo) & (F.col(score) <= hi)
@@ -48,6 +53,16 @@ def in_bbox(bbox, lon: str = "lon", lat: str = "lat") -> Column:
     return F.lit(True) if bbox is None else geo.in_box(lon, lat, *bbox)
 
 
+def in_bbox_tiles(bbox) -> Column:
+    """Tiles (zoom, x, y) that a box touches, the box crossing the antimeridian where west > east."""
+    if bbox is None:
+        return F.lit(True)
+    first, last = geo.tile_of(bbox[0], bbox[3], "zoom"), geo.tile_of(bbox[2], bbox[1], "zoom")
+    x, y = F.col("x"), F.col("y")
+    across = (x >= first["x"]) & (x <= last["x"]) if bbox[0] <= bbox[2] else (x >= first["x"]) | (x <= last["x"])
+    return across & (y >= first["y"]) & (y <= last["y"])
+
+
 def forward_allowed(reverse_only: str = "reverse_only") -> Column:
     return ~F.coalesce(F.col(reverse_only), F.lit(False))
 

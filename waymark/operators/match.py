@@ -128,12 +128,12 @@ def maximal(combined: DataFrame) -> DataFrame:
 
 def ranked_stacks(combined: DataFrame, most: int = 50) -> DataFrame:
     """Per query and target feature the best stack of each direction (a single one only if no direction came
-    first), then the best ``most``: adds position."""
+    first), then the best ``most``: adds position. A column ``near`` takes the place of the score of the target's cover."""
     target = F.col("entries")[0]
     ascending = F.when(F.size("entries") > 1, F.when(target["mask"] < F.col("entries")[1]["mask"], 1).otherwise(2)).otherwise(0)
     idxs = F.transform("entries", lambda e: e["idx"].cast("double"))
     mean = F.aggregate(idxs, F.lit(0.0), lambda a, v: a + v) / F.size("entries")
-    rows = combined.withColumns({"tmpid": target["tmpid"], "direction": ascending, "scoredist": bits.decode_log_scale(target["score"], target["maxscore"]), "mean_idx": mean, "tie": F.to_json("entries")})
+    rows = combined.withColumns({"tmpid": target["tmpid"], "direction": ascending, "scoredist": F.col("near") if "near" in combined.columns else bits.decode_log_scale(target["score"], target["maxscore"]), "mean_idx": mean, "tie": F.to_json("entries")})
     order = [F.desc("relev"), F.desc("scoredist"), F.asc(F.col("entries")[0]["idx"]), F.desc("mean_idx"), F.asc("tie")]
     first = F.row_number().over(Window.partitionBy("query_id", "tmpid", "direction").orderBy(*order))
     seen = F.max((F.col("direction") > 0).cast("int")).over(Window.partitionBy("query_id", "tmpid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +25,33 @@ def _zooms(index: Index) -> list[int]:
 def forward(queries: DataFrame, index: Index, options: Options | None = None) -> DataFrame:
     """query_id, rank, id (type.id), place_name, relevance, lon, lat for each query (query_id, query)."""
     o = options or Options()
+    if o.stacks:
+        index = replace(index, sources=index.sources.where(filters.of_any_stack(o.stacks)))
     zooms = _zooms(index)
     asked = match.tokenized(queries)
-    found = materialize(match.covers(match.phrasematch(asked, index, o.autocomplete, o.fuzzy), index, o.language[0] if o.language else None), "covers")
+    found = match.covers(match.phrasematch(asked, index, o.autocomplete, o.fuzzy), index, o.language[0] if o.language else None)
+    found = materialize(found.where(filters.in_bbox_tiles(o.bbox)), "covers")
     combined = materialize(match.stacks(found, zooms), "combined")
-    ranked = match.ranked_stacks(combined, STACKS)
-    top = ranked.select(
-        "query_id", "n", "position", F.col("relev").alias("stack_relev"), "scoredist", "tmpid", F.col("entries")[0]["idx"].alias("idx"), F.col("entries")[0]["id"].alias("id"),
-        F.map_from_entries(F.transform(F.arrays_zip("entries", "balanced"), lambda z: F.struct(z["entries"]["tmpid"], F.struct(z["balanced"].alias("relev"), z["entries"]["mask"].alias("mask"), z["entries"]["phrase"].alias("phrase"))))).alias("strict"),
-        F.map_from_entries(F.transform(F.arrays_zip("entries", "balanced"), lambda z: F.struct(z["entries"]["ndx"], F.struct(z["balanced"].alias("relev"), z["entries"]["mask"].alias("mask"), z["entries"]["phrase"].alias("phrase"), z["entries"]["zoom"].alias("zoom"))))).alias("by_layer"),
-    )
     sources = F.broadcast(index.sources.select("source", "idx", "ndx", "types", "address_order", "zoom"))  # a row per layer
     features = index.features.select("source", "id", "text", "lon", "lat", "score").join(sources, "source").select("source", "idx", "ndx", "types", "address_order", "id", "text", "lon", "lat", "score")
-    loaded = top.join(features, ["idx", "id"]).where(filters.in_bbox(o.bbox))
+    features = features.where(filters.in_bbox(o.bbox))
     if o.types:
-        loaded = loaded.where(F.arrays_overlap("types", F.array(*[F.lit(t) for t in o.types])))
+        features = features.where(F.arrays_overlap("types", F.array(*[F.lit(t) for t in o.types])))
     if o.proximity:
         miles = geo.distance_miles(*o.proximity, "lon", "lat")
-        loaded = loaded.withColumn("scoredist", geo.scoredist(F.least(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 0.0, 1.0, miles, 14))
+        features = features.withColumn("near", geo.scoredist(F.least(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 0.0, 1.0, miles, 14))
+    # what the options ask of a target holds before the best stacks are taken
+    aimed = combined
+    if o.bbox or o.types or o.proximity:
+        targets = features.select("idx", "id", *(["near"] if o.proximity else []))
+        aimed = combined.withColumns({"idx": F.col("entries")[0]["idx"], "id": F.col("entries")[0]["id"]}).join(targets, ["idx", "id"]).drop("idx", "id")
+    ranked = match.ranked_stacks(aimed, STACKS)
+    top = ranked.select(
+        "query_id", "n", "position", F.col("relev").alias("stack_relev"), "scoredist", "tmpid", F.col("entries")[0]["idx"].alias("idx"), F.col("entries")[0]["id"].alias("id"),
+        F.map_from_entries(F.transform(F.arrays_zip("entries", "balanced"), lambda z: F.struct(z["entries"]["tmpid"], F.struct(z["balanced"].alias("relev"), z["entries"]["mask"].alias("mask"), z["entries"]["phrase"].alias("phrase"))))).alias("strict"),
+        F.map_from_entries(F.transform(F.arrays_zip("entries", "balanced"), lambda z: F.struct(z["entries"]["ndx"], F.struct(z["balanced"].alias("relev"), z["entries"]["mask"].alias("mask"), z["entries"]["phrase"].alias("phrase"), z["entries"]["zoom"].alias("zoom"))))).alias("by_layer"),
+    )
+    loaded = top.join(features.drop("near"), ["idx", "id"])
     no = F.lit(False)
     loaded = loaded.withColumns({"relevance": geo.relevance_score("stack_relev", "scoredist", ghost=F.coalesce(F.col("score"), F.lit(0.0)) < 0), "missing_address": no, "omitted": no, "interpolated": no})
     loaded = materialize(verify.order_features(loaded, CONTEXTS).drop("rank"), "loaded")
