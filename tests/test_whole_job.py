@@ -4,7 +4,7 @@ import pytest
 
 from waymark.config import Options, Source, catalog
 from waymark.operators import index as ix
-from waymark.plans import geocode
+from waymark.plans import addresses, geocode
 
 DOC = "source string, id bigint, text string, lon double, lat double, score double"
 
@@ -26,3 +26,13 @@ def namesakes(spark):
 def test_options_hold_before_the_best_targets_are_taken(spark, namesakes, options, first):
     q = spark.createDataFrame([(1, "main st")], "query_id bigint, query string")
     assert geocode.forward(q, namesakes, options).where("rank = 1").head().id == first
+
+
+def test_the_number_is_looked_up_before_streets_are_cut(spark, namesakes):
+    streets = spark.createDataFrame(
+        [("street", 1, [("7", 1.0, 10.0, None)], None), ("street", 70, [("100", 70.0, 10.5, None)], None)],
+        "source string, id bigint, points array<struct<num:string,lon:double,lat:double,style:string>>, ranges array<struct<i:int,lf:int,lt:int,rf:int,rt:int,lp:string,rp:string,line:array<struct<lon:double,lat:double>>>>",
+    )
+    q = spark.createDataFrame([(1, "100 main st"), (2, "7 main st"), (3, "8 main st")], "query_id bigint, query string")
+    rows = addresses.forward_address(q, streets, namesakes, Options(limit=1)).collect()
+    assert {(r.query_id, r.id, r.place_name, r.lat) for r in rows} == {(1, "street.70", "100 main st", 10.5), (2, "street.1", "7 main st", 10.0)}

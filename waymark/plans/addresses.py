@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from waymark.config import Options
 from waymark.functions import address
 from waymark.functions.text import number_variants
-from waymark.operators import match
+from waymark.operators import match, verify
 from waymark.operators.index import Index
 from waymark.plans import geocode
 from waymark.sources.scratch import materialize
@@ -31,18 +31,26 @@ def forward_address(queries: DataFrame, streets: DataFrame, index: Index, option
         F.array_join(F.filter(F.col("v.tokens"), lambda t, i: i != F.col("v.position")), " ").alias("query"),
     )
     rest = materialize(rest.where("query <> ''"), "hypotheses")
-    found = geocode.forward(rest.select(F.col("h").alias("query_id"), "query"), index, o).withColumnRenamed("query_id", "h")
-    hits = found.join(rest.select("h", "query_id", "number", "position"), "h").withColumns({"source": F.split("id", r"\.")[0], "fid": F.split("id", r"\.")[1].cast("bigint")})
-    kinds = F.broadcast(index.sources.select(F.element_at("types", -1).alias("type"), F.col("source").alias("layer")))  # a row per layer
-    hits = hits.join(kinds, hits["source"] == kinds["type"]).drop("source", "type")
-    s = streets.select(F.col("source").alias("layer"), F.col("id").alias("fid"), "points", "ranges")
-    met = hits.join(s, ["layer", "fid"])
-    point = address.matching_points(F.coalesce("points", F.array().cast(streets.schema["points"].dataType)), F.col("number"))
-    placed = address.on_range(F.coalesce("ranges", F.array().cast(streets.schema["ranges"].dataType)), "number")
-    met = met.withColumns({"p": F.get(point, F.lit(0)), "r": placed}).where(F.col("p").isNotNull() | F.col("r").isNotNull())
-    rows = met.select(
-        "query_id", "position", "id", F.col("number").alias("address"), F.concat_ws(" ", "number", "place_name").alias("place_name"), "relevance",
-        F.coalesce("p.lon", "r.lon").alias("lon"), F.coalesce("p.lat", "r.lat").alias("lat"), F.when(F.col("p").isNull(), F.col("r.omitted")).otherwise(False).alias("omitted"), F.col("p").isNull().alias("interpolated"), "rank",
+    asked_number = rest.select(F.col("h").alias("query_id"), "number")
+    s = streets.select("source", "id", "points", "ranges")
+
+    def place(targets: DataFrame) -> DataFrame:
+        """The targets that have the number asked for, at its point."""
+        met = targets.join(asked_number, "query_id").join(s, ["source", "id"])
+        point = address.matching_points(F.coalesce("points", F.array().cast(streets.schema["points"].dataType)), F.col("number"))
+        placed = address.on_range(F.coalesce("ranges", F.array().cast(streets.schema["ranges"].dataType)), "number")
+        met = met.withColumns({"p": F.get(point, F.lit(0)), "r": placed}).where(F.col("p").isNotNull() | F.col("r").isNotNull())
+        return met.select(
+            *[c for c in targets.columns if c not in ("lon", "lat")], F.coalesce("p.lon", "r.lon").alias("lon"), F.coalesce("p.lat", "r.lat").alias("lat"),
+            F.when(F.col("p").isNull(), F.col("r.omitted")).otherwise(False).alias("omitted"), F.col("p").isNull().alias("interpolated"),
+        )
+
+    found = geocode.verified(rest.select(F.col("h").alias("query_id"), "query"), index, o, place)
+    if not o.allow_dupes:
+        found = verify.dedupe(found)
+    rows = found.withColumnRenamed("query_id", "h").join(rest.select("h", "query_id", "number", "position").withColumnRenamed("position", "at"), "h").select(
+        "query_id", F.col("at").alias("position"), geocode.type_id().alias("id"), F.col("number").alias("address"), F.concat_ws(" ", "number", "place_name").alias("place_name"),
+        F.col("verified").alias("relevance"), "lon", "lat", "omitted", "interpolated", "rank",
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.col("omitted").cast("int"), "position", F.col("interpolated").cast("int"), "rank", "id")
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= o.limit).drop("position")

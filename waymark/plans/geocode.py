@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -25,15 +26,34 @@ def _zooms(index: Index) -> list[int]:
 def forward(queries: DataFrame, index: Index, options: Options | None = None) -> DataFrame:
     """query_id, rank, id (type.id), place_name, relevance, lon, lat for each query (query_id, query)."""
     o = options or Options()
+    rows = verified(queries, index, o)
+    if not o.allow_dupes:
+        rows = verify.dedupe(rows)
+    return rows.where(F.col("rank") <= o.limit).select("query_id", F.col("rank").cast("long").alias("rank"), type_id().alias("id"), "place_name", F.col("verified").alias("relevance"), "lon", "lat")
+
+
+def type_id():
+    return F.concat(F.element_at("types", -1), F.lit("."), F.col("id").cast("string"))
+
+
+def verified(queries: DataFrame, index: Index, o: Options, place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """All verified results of forward queries, ranked, before duplicates go and the limit is applied. ``place`` takes the targets
+    (query_id and the columns of features), and returns those that answer their query, at the point meant, with
+    omitted and interpolated."""
     if o.stacks:
         index = replace(index, sources=index.sources.where(filters.of_any_stack(o.stacks)))
     zooms = _zooms(index)
     asked = match.tokenized(queries)
     found = match.covers(match.phrasematch(asked, index, o.autocomplete, o.fuzzy), index, o.language[0] if o.language else None)
-    found = materialize(found.where(filters.in_bbox_tiles(o.bbox)), "covers")
+    found = materialize(found.where(filters.in_bbox_tiles(None if place else o.bbox)), "covers")  # a house may lie in another tile than its street
     combined = materialize(match.stacks(found, zooms), "combined")
     sources = F.broadcast(index.sources.select("source", "idx", "ndx", "types", "address_order", "zoom"))  # a row per layer
     features = index.features.select("source", "id", "text", "lon", "lat", "score").join(sources, "source").select("source", "idx", "ndx", "types", "address_order", "id", "text", "lon", "lat", "score")
+    keys = ["idx", "id"]
+    if place:
+        keys = ["query_id", *keys]
+        asked_of = combined.select("query_id", F.col("entries")[0]["idx"].alias("idx"), F.col("entries")[0]["id"].alias("id")).distinct()
+        features = materialize(place(asked_of.join(features, ["idx", "id"])), "placed")
     features = features.where(filters.in_bbox(o.bbox))
     if o.types:
         features = features.where(F.arrays_overlap("types", F.array(*[F.lit(t) for t in o.types])))
@@ -42,18 +62,18 @@ def forward(queries: DataFrame, index: Index, options: Options | None = None) ->
         features = features.withColumn("near", geo.scoredist(F.least(F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 0.0, 1.0, miles, 14))
     # what the options ask of a target holds before the best stacks are taken
     aimed = combined
-    if o.bbox or o.types or o.proximity:
-        targets = features.select("idx", "id", *(["near"] if o.proximity else []))
-        aimed = combined.withColumns({"idx": F.col("entries")[0]["idx"], "id": F.col("entries")[0]["id"]}).join(targets, ["idx", "id"]).drop("idx", "id")
+    if place or o.bbox or o.types or o.proximity:
+        targets = features.select(*keys, *(["near"] if o.proximity else []))
+        aimed = combined.withColumns({"idx": F.col("entries")[0]["idx"], "id": F.col("entries")[0]["id"]}).join(targets, keys).drop("idx", "id")
     ranked = match.ranked_stacks(aimed, STACKS)
     top = ranked.select(
         "query_id", "n", "position", F.col("relev").alias("stack_relev"), "scoredist", "tmpid", F.col("entries")[0]["idx"].alias("idx"), F.col("entries")[0]["id"].alias("id"),
         F.map_from_entries(F.transform(F.arrays_zip("entries", "balanced"), lambda z: F.struct(z["entries"]["tmpid"], F.struct(z["balanced"].alias("relev"), z["entries"]["mask"].alias("mask"), z["entries"]["phrase"].alias("phrase"))))).alias("strict"),
         F.map_from_entries(F.transform(F.arrays_zip("entries", "balanced"), lambda z: F.struct(z["entries"]["ndx"], F.struct(z["balanced"].alias("relev"), z["entries"]["mask"].alias("mask"), z["entries"]["phrase"].alias("phrase"), z["entries"]["zoom"].alias("zoom"))))).alias("by_layer"),
     )
-    loaded = top.join(features.drop("near"), ["idx", "id"])
+    loaded = top.join(features.drop("near"), keys)
     no = F.lit(False)
-    loaded = loaded.withColumns({"relevance": geo.relevance_score("stack_relev", "scoredist", ghost=F.coalesce(F.col("score"), F.lit(0.0)) < 0), "missing_address": no, "omitted": no, "interpolated": no})
+    loaded = loaded.withColumns({"relevance": geo.relevance_score("stack_relev", "scoredist", ghost=F.coalesce(F.col("score"), F.lit(0.0)) < 0), "missing_address": no} | ({} if place else {"omitted": no, "interpolated": no}))
     loaded = materialize(verify.order_features(loaded, CONTEXTS).drop("rank"), "loaded")
     # hierarchy: in every coarser layer the feature of the same tile, one that the query names before any other
     points = loaded.select(F.struct("query_id", "tmpid", "position").alias("point_id"), F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.col("idx").alias("own"), "strict")
@@ -81,12 +101,7 @@ def forward(queries: DataFrame, index: Index, options: Options | None = None) ->
 
     score = F.greatest(verify.relevance(elements(True), F.col("address_order")), verify.relevance(elements(False), F.col("address_order")))
     rows = rows.withColumn("verified", F.least(geo.half_up(score, 6), F.lit(1.0)))
-    rows = verify.order_contexts(rows.withColumn("place_name", ctx.place_name(F.col("context"))), CONTEXTS)
-    if not o.allow_dupes:
-        rows = verify.dedupe(rows)
-    return rows.where(F.col("rank") <= o.limit).select(
-        "query_id", F.col("rank").cast("long").alias("rank"), F.concat(F.element_at("types", -1), F.lit("."), F.col("id").cast("string")).alias("id"), "place_name", F.col("verified").alias("relevance"), "lon", "lat",
-    )
+    return verify.order_contexts(rows.withColumn("place_name", ctx.place_name(F.col("context"))), CONTEXTS)
 
 
 def reverse(points: DataFrame, index: Index, options: Options | None = None, tolerance: float | None = ctx.TOLERANCE_METERS) -> DataFrame:
