@@ -4,6 +4,7 @@ import pytest
 
 from waymark.config import Options, Source, catalog
 from waymark.operators import index as ix
+from waymark.operators import match
 from waymark.plans import addresses, geocode
 
 DOC = "source string, id bigint, text string, lon double, lat double, score double"
@@ -36,3 +37,16 @@ def test_the_number_is_looked_up_before_streets_are_cut(spark, namesakes):
     q = spark.createDataFrame([(1, "100 main st"), (2, "7 main st"), (3, "8 main st")], "query_id bigint, query string")
     rows = addresses.forward_address(q, streets, namesakes, Options(limit=1)).collect()
     assert {(r.query_id, r.id, r.place_name, r.lat) for r in rows} == {(1, "street.70", "100 main st", 10.5), (2, "street.1", "7 main st", 10.0)}
+
+
+def test_stacks_have_as_many_layers_as_the_query_names(spark):
+    names = ["country", "region", "district", "place", "locality", "street"]
+    texts = ["usa", "carolina", "forsyth", "winston", "ardmore", "cabin"]
+    docs = [(n, 1, t, 1.0, 1.0, 1.0) for n, t in zip(names, texts)]
+    index = ix.build(spark.createDataFrame(docs, DOC), catalog(spark, [Source(n) for n in names]))
+    q = spark.createDataFrame([(1, " ".join(reversed(texts))), (2, "cabin ardmore winston forsyth carolina x")], "query_id bigint, query string")
+    options = Options(limit=1, fuzzy=False, autocomplete=False)
+    found = match.covers(match.phrasematch(match.tokenized(q), index, False, False), index)
+    stacks = match.stacks(found, [6], len(names)).selectExpr("query_id", "size(entries) as layers", "relev").collect()
+    assert {(r.query_id, r.layers, round(r.relev, 3)) for r in stacks} == {(1, 6, 1.0), (2, 5, 0.833)}
+    assert {(r.query_id, r.id, round(r.relevance, 3)) for r in geocode.forward(q, index, options).collect()} == {(1, "street.1", 1.0), (2, "street.1", 0.833)}

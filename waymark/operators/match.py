@@ -99,10 +99,10 @@ def covers(matches: DataFrame, index: Index, language: str | None = None) -> Dat
     return found.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*").withColumn("tmpid", bits.tmpid("idx", "id"))
 
 
-def stacks(found: DataFrame, zooms: list[int], depth: int = 4) -> DataFrame:
+def stacks(found: DataFrame, zooms: list[int], depth: int) -> DataFrame:
     """All combinations of covers of different layers with disjoint masks whose tiles contain the finest one's: query_id,
     n, entries (finest first), relev, balanced. The finest member has the highest idx, and members join in falling order of idx,
-    so each set of covers comes once."""
+    so each set of covers comes once. ``depth``: the number of logical layers, the most that a stack can have; levels end where one adds nothing."""
     entry = F.struct("idx", "ndx", "id", "tmpid", "mask", "entry", "score", "maxscore", "phrase", "zoom", "x", "y")
     level = found.select("query_id", "n", F.array(entry).alias("entries"), F.col("mask").alias("used"), F.col("idx").alias("last"), F.array("ndx").alias("layers"), F.col("apart"), F.col("zoom").alias("z"), "x", "y")
     all_levels = level
@@ -113,8 +113,11 @@ def stacks(found: DataFrame, zooms: list[int], depth: int = 4) -> DataFrame:
         met = up.withColumns({"px": px, "py": py}).join(other, (F.col("query_id") == F.col("q")) & (F.col("k") == F.col("kz")) & (F.col("px") == F.col("kx")) & (F.col("py") == F.col("ky")))
         met = met.where((F.col("i") < F.col("last")) & (F.col("m").bitwiseAND(F.col("used")) == 0) & ~F.array_contains("layers", F.col("d")) & ~F.array_contains("apart", F.col("i")))
         level = met.select("query_id", "n", F.array_append("entries", F.col("more")).alias("entries"), F.col("used").bitwiseOR(F.col("m")).alias("used"), F.col("i").alias("last"), F.array_append("layers", F.col("d")).alias("layers"), F.array_union("apart", "ap").alias("apart"), "z", "x", "y")
+        level = materialize(level, "level")  # else each level would join all before it again
+        if level.isEmpty():
+            break
         all_levels = all_levels.unionByName(level)
-    all_levels = maximal(materialize(all_levels, "stacks"))
+    all_levels = maximal(all_levels)
     balanced = bits.rebalance(F.transform("entries", lambda e: e["entry"]), F.transform("entries", lambda e: e["mask"]), "n")
     return all_levels.select("query_id", "n", "entries", "used", balanced.alias("b")).select("query_id", "n", "entries", "used", F.col("b.relev").alias("relev"), F.col("b.relevs").alias("balanced"))
 

@@ -46,7 +46,7 @@ def verified(queries: DataFrame, index: Index, o: Options, place: Callable[[Data
     asked = match.tokenized(queries)
     found = match.covers(match.phrasematch(asked, index, o.autocomplete, o.fuzzy), index, o.language[0] if o.language else None)
     found = materialize(found.where(filters.in_bbox_tiles(None if place else o.bbox)), "covers")  # a house may lie in another tile than its street
-    combined = materialize(match.stacks(found, zooms), "combined")
+    combined = materialize(match.stacks(found, zooms, index.sources.select("ndx").distinct().count()), "combined")
     sources = F.broadcast(index.sources.select("source", "idx", "ndx", "types", "address_order", "zoom"))  # a row per layer
     features = index.features.select("source", "id", "text", "lon", "lat", "score").join(sources, "source").select("source", "idx", "ndx", "types", "address_order", "id", "text", "lon", "lat", "score")
     keys = ["idx", "id"]
