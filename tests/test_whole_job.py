@@ -50,3 +50,16 @@ def test_stacks_have_as_many_layers_as_the_query_names(spark):
     stacks = match.stacks(found, [6], len(names)).selectExpr("query_id", "size(entries) as layers", "relev").collect()
     assert {(r.query_id, r.layers, round(r.relev, 3)) for r in stacks} == {(1, 6, 1.0), (2, 5, 0.833)}
     assert {(r.query_id, r.id, round(r.relevance, 3)) for r in geocode.forward(q, index, options).collect()} == {(1, "street.1", 1.0), (2, "street.1", 0.833)}
+
+
+def test_polygons_are_found_in_every_tile_they_cover(spark):
+    square = [(0.0, 0.0), (20.0, 0.0), (20.0, 20.0), (0.0, 20.0), (0.0, 0.0)]
+    docs = [("country", 1, "usa", 10.0, 10.0, 1.0, square), ("place", 1, "paris", 18.5, 1.5, 1.0, None), ("place", 2, "paris", 20.5, 1.5, 1.0, None)]
+    feats = spark.createDataFrame(docs, DOC + ", ring array<struct<lon:double,lat:double>>")
+    index = ix.build(feats, catalog(spark, [Source("country"), Source("place")]))
+    at = spark.createDataFrame([(1, 18.5, 1.5), (2, 1.0, 19.0), (3, 20.5, 4.0)], "query_id bigint, lon double, lat double")
+    assert {(r.query_id, r.id) for r in geocode.reverse(at, index).collect()} == {(1, "place.1"), (1, "country.1"), (2, "country.1")}
+    q = spark.createDataFrame([(1, "paris usa")], "query_id bigint, query string")
+    rows = geocode.forward(q, index, Options(fuzzy=False, autocomplete=False)).collect()
+    assert [(r.id, r.place_name, r.relevance) for r in rows if r["rank"] == 1] == [("place.1", "paris, usa", 1.0)]
+    assert {r.place_name for r in rows if r.id == "place.2"} <= {"paris"}

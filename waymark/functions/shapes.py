@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
+
 MAX_LAT = 85.0511
 
 
@@ -64,14 +66,24 @@ def cover(points: list[tuple[float, float]], z: int, polygon: bool) -> list[tupl
     return sorted({(z, max(0, min(top, x)), max(0, min(top, y))) for x, y in found})
 
 
-def tile_cover(points, z: int, polygon: bool = True) -> Column:
+def tile_cover(points, z: int | Column, polygon: bool = True) -> Column:
     """Array of struct(z, x, y) for an array of struct(lon, lat); null for null, empty for an empty one."""
 
     @F.pandas_udf("array<struct<z:int,x:int,y:int>>")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else [{"z": a, "x": b, "y": c} for a, b, c in cover([(p["lon"], p["lat"]) for p in r], z, polygon)])
+    def run(rows: pd.Series, zooms: pd.Series) -> pd.Series:
+        tiles = [None if r is None else [{"z": a, "x": b, "y": c} for a, b, c in cover([(p["lon"], p["lat"]) for p in r], int(k), polygon)] for r, k in zip(rows, zooms)]
+        return pd.Series(tiles, index=rows.index, dtype=object)
+
+    return run(F.col(points) if isinstance(points, str) else points, z if isinstance(z, Column) else F.lit(z))
+
 
-    return run(F.col(points) if isinstance(points, str) else points)
+def tiles_of(features: DataFrame) -> DataFrame:
+    """A row per feature and tile at its zoom (column ``t``): every tile that its ring covers, and that of its center."""
+    center = geo.tile_of("lon", "lat", "zoom")
+    if "ring" not in features.columns:
+        return features.withColumn("t", center)
+    covered = features.withColumn("tiles", tile_cover("ring", F.col("zoom")))
+    return covered.withColumn("t", F.explode(F.array_union(F.array(center), F.coalesce("tiles", F.array().cast("array<struct<z:int,x:int,y:int>>"))))).drop("tiles")
 
 
 def surface_point(ring: list[tuple[float, float]]) -> tuple[float, float] | None:

@@ -6,30 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions import bits, geo
+from waymark.functions import bits, geo, shapes
 
 TOLERANCE_METERS = 1000.0
 MAX_NEAREST = 5
 
 
 def tiles(features: DataFrame, sources: DataFrame) -> DataFrame:
-    """Features by their tile at their layer's zoom, with what lookups need."""
+    """Features by their tiles at their layer's zoom, all that a ring covers, with what lookups need."""
     f = features.join(F.broadcast(sources.select("source", "idx", "ndx", "zoom", "bounds")), "source")  # a row per layer
-    t = geo.tile_of("lon", "lat", "zoom")
     ring = F.col("ring") if "ring" in features.columns else F.lit(None).cast("array<struct<lon:double,lat:double>>")
-    return f.select("source", "idx", "ndx", "zoom", "bounds", t["x"].alias("x"), t["y"].alias("y"), "id", "text", "lon", "lat", "score", ring.alias("ring"))
+    return shapes.tiles_of(f).select("source", "idx", "ndx", "zoom", "bounds", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "id", "text", "lon", "lat", "score", ring.alias("ring"))
 
 
 def candidates(points: DataFrame, tiled: DataFrame, zooms: list[int], tolerance: float | None = TOLERANCE_METERS) -> DataFrame:
     """point columns (point_id, plon, plat) with every feature of the point's tile in each layer: in a polygon the
-    distance is 0, otherwise that to the feature's center, up to ``tolerance`` meters (None: the whole tile)."""
+    distance is 0, otherwise that to the feature's center, up to ``tolerance`` meters (None: the whole tile, but for
+    polygons, which have to contain the point or have their center within ``TOLERANCE_METERS``)."""
     asked = points.withColumn("t", F.explode(F.array(*[geo.tile_of("plon", "plat", z) for z in sorted(set(zooms))])))
     asked = asked.select(*points.columns, F.col("t.z").alias("zoom"), F.col("t.x").alias("x"), F.col("t.y").alias("y"))
     met = asked.join(tiled, ["zoom", "x", "y"])
     inside = F.coalesce(geo.in_ring("plon", "plat", F.col("ring")), F.lit(False))
     meters = F.when(inside, 0.0).otherwise(geo.distance_miles("plon", "plat", "lon", "lat") * geo.METERS_PER_MILE)
     met = met.withColumn("distance", meters).where(geo.in_box("plon", "plat", *[F.col("bounds")[i] for i in range(4)]))
-    return met if tolerance is None else met.where(F.col("distance") <= tolerance)
+    return met.where(F.col("ring").isNull() | (F.col("distance") <= TOLERANCE_METERS) if tolerance is None else F.col("distance") <= tolerance)
 
 
 def best_per_layer(met: DataFrame, by_score: bool = False, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:

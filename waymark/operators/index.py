@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions import bits, geo
+from waymark.functions import bits, shapes
 from waymark.functions.text import deletions, normalize_text, tokenize
 from waymark.sources.scratch import materialize
 
@@ -76,8 +76,7 @@ def indexable_phrases(texts: DataFrame) -> DataFrame:
 def postings(phrases: DataFrame, features: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per phrase, feature and tile: source, phrase, id, relev, langs, score (3 bits), x, y."""
     f = features.join(F.broadcast(sources.select("source", "zoom", "maxscore")), "source")  # a row per layer
-    tile = geo.tile_of("lon", "lat", "zoom")
-    f = f.select("source", "id", bits.encode_log_scale("score", "maxscore").alias("score"), tile.alias("t"))
+    f = shapes.tiles_of(f).select("source", "id", bits.encode_log_scale("score", "maxscore").alias("score"), "t")
     return phrases.join(f, ["source", "id"]).select("source", "phrase", "id", "relev", "langs", "score", F.col("t.x").alias("x"), F.col("t.y").alias("y"))
 
 

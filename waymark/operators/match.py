@@ -123,10 +123,10 @@ def stacks(found: DataFrame, zooms: list[int], depth: int) -> DataFrame:
 
 
 def maximal(combined: DataFrame) -> DataFrame:
-    """Only stacks that are no part of another of their query: every stack strikes out those with one member less."""
+    """Only stacks that are no part of another of their query, each once however many tiles its members share: every stack strikes out those with one member less."""
     key = lambda a: F.array_join(F.array_sort(F.transform(a, lambda e: F.concat_ws(":", e["tmpid"], e["mask"]))), ",")
     parts = combined.where(F.size("entries") > 1).select("query_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("entries") - 1), lambda i: key(F.filter("entries", lambda e, j: j != i)))).alias("key")).distinct()
-    return combined.withColumn("key", key(F.col("entries"))).join(parts, ["query_id", "key"], "left_anti").drop("key")
+    return combined.withColumn("key", key(F.col("entries"))).dropDuplicates(["query_id", "key"]).join(parts, ["query_id", "key"], "left_anti").drop("key")
 
 
 def ranked_stacks(combined: DataFrame, most: int = 50) -> DataFrame:

@@ -468,6 +468,18 @@ def reverse_geocode(spark, d):
     return geocode.reverse(points, index).select("query_id", "rank", "id")
 
 
+@query("reverse_polygons", """select r_regionkey as query_id, 1::bigint as rank, 'country.' || r_regionkey as id from region""")
+def reverse_polygons(spark, d):
+    """Regions as squares of 20 degrees, each asked for by a point far off the tile of its center."""
+    west = F.col("r_regionkey") * 40 - 90.0
+    corner = lambda dx, dy: F.struct((west + dx).alias("lon"), F.lit(dy).alias("lat"))
+    ring = F.array(corner(0.0, 0.0), corner(20.0, 0.0), corner(20.0, 20.0), corner(0.0, 20.0), corner(0.0, 0.0))
+    r = table(spark, d, "region")
+    feats = r.select(F.lit("country").alias("source"), F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("text"), (west + 10).alias("lon"), F.lit(10.0).alias("lat"), F.lit(1.0).alias("score"), ring.alias("ring"))
+    points = r.select(F.col("r_regionkey").alias("query_id"), (west + 18.5).alias("lon"), F.lit(1.5).alias("lat"))
+    return geocode.reverse(points, ix.Index(catalog(spark, [Source("country", zoom=6)]), feats, feats, feats)).select("query_id", "rank", "id")
+
+
 @query("id_geocode", "select s_suppkey as query_id, 'place.' || s_suppkey as id, s_name as place_name from supplier")
 def id_geocode(spark, d):
     feats, cat = layers(spark, d)
