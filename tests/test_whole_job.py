@@ -2,7 +2,7 @@
 
 import pytest
 
-from waymark.config import Options, Source, catalog
+from waymark.config import InvalidOption, Options, Source, catalog
 from waymark.operators import index as ix
 from waymark.operators import match
 from waymark.plans import addresses, geocode
@@ -63,3 +63,16 @@ def test_polygons_are_found_in_every_tile_they_cover(spark):
     rows = geocode.forward(q, index, Options(fuzzy=False, autocomplete=False)).collect()
     assert [(r.id, r.place_name, r.relevance) for r in rows if r["rank"] == 1] == [("place.1", "paris, usa", 1.0)]
     assert {r.place_name for r in rows if r.id == "place.2"} <= {"paris"}
+
+
+def test_options_without_effect_are_refused(spark, namesakes):
+    q = spark.createDataFrame([(1, "main st", 1.0, 10.0)], "query_id bigint, query string, lon double, lat double")
+    for o in (Options(worldview="us"), Options(language_mode="strict"), Options(language=["en", "de"]), Options(types=["street.big"])):
+        for plan in (geocode.forward, geocode.reverse):
+            with pytest.raises(InvalidOption):
+                plan(q, namesakes, o)
+    for o in (Options(limit=1, bbox=(0.0, 0.0, 1.0, 1.0)), Options(limit=1, proximity=(0.0, 0.0)), Options(limit=1, language=["en"])):
+        with pytest.raises(InvalidOption):
+            geocode.reverse(q, namesakes, o)
+    assert {r.id for r in geocode.reverse(q, namesakes, Options(limit=1, stacks=["us"])).collect()} == set()
+    assert {r.id for r in geocode.reverse(q, namesakes, Options(limit=1, stacks=["ca"])).collect()} == {"street.1"}

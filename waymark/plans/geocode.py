@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.config import Options
+from waymark.config import InvalidOption, Options
 from waymark.functions import bits, geo
 from waymark.functions.text import as_id, as_reverse
 from waymark.operators import context as ctx
@@ -23,6 +23,17 @@ def _zooms(index: Index) -> list[int]:
     return [r.zoom for r in index.sources.select("zoom").distinct().collect()]  # a row per layer
 
 
+def _refuse(o: Options, *without_effect: str) -> None:
+    """Raises InvalidOption for what is asked for and would have no effect."""
+    bad = [k for k in ("language_mode", "worldview", *without_effect) if getattr(o, k)]
+    if o.language and len(o.language) > 1:
+        bad.append("language beyond the first code")
+    if any("." in t for t in o.types or ()):
+        bad.append("subtypes in types")
+    if bad:
+        raise InvalidOption(f"not built in yet: {', '.join(bad)}")
+
+
 def forward(queries: DataFrame, index: Index, options: Options | None = None) -> DataFrame:
     """query_id, rank, id (type.id), place_name, relevance, lon, lat for each query (query_id, query)."""
     o = options or Options()
@@ -40,6 +51,7 @@ def verified(queries: DataFrame, index: Index, o: Options, place: Callable[[Data
     """All verified results of forward queries, ranked, before duplicates go and the limit is applied. ``place`` takes the targets
     (query_id and the columns of features), and returns those that answer their query, at the point meant, with
     omitted and interpolated."""
+    _refuse(o)
     if o.stacks:
         index = replace(index, sources=index.sources.where(filters.of_any_stack(o.stacks)))
     zooms = _zooms(index)
@@ -108,6 +120,9 @@ def reverse(points: DataFrame, index: Index, options: Options | None = None, tol
     """query_id, rank, id, place_name, lon, lat, distance for each point (query_id, lon, lat): the hierarchy around it
     and each of its suffixes; with a limit above 1, the nearest features of the one type asked for."""
     o = options or Options(limit=1)
+    _refuse(o, "proximity", "bbox", "language")
+    if o.stacks:
+        index = replace(index, sources=index.sources.where(filters.of_any_stack(o.stacks)))
     zooms = _zooms(index)
     tiled = ctx.tiles(index.features, index.sources)
     asked = points.select(F.col("query_id").alias("point_id"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
