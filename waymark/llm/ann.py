@@ -11,7 +11,8 @@ of ``COLUMNS`` columns: after each, the squared distance over the d columns so f
 distance t of the k-th best so far: a candidate is abandoned where
 dist_d > t * d/D * (1 + EPSILON/sqrt(d))^2, which rejects the hypothesis that its whole distance is
 below t. What is left is scored in double precision on the original vectors. t starts from the
-query's k-th best within a bounded part of the sample.
+query's k-th best within a bounded part of the sample; these k are candidates themselves, whatever lists they are
+in, so no query with k candidates comes back with fewer.
 
 Edge cases: a vector that is null, zero, of another length than most, or has a null or non-finite
 component takes no part, as query or candidate; so does a null vec_id. Of rows that repeat a vec_id
@@ -120,6 +121,12 @@ def probes_needed(x: np.ndarray, centres: np.ndarray, k: int = K, target: float
     return int(at[min(len(at) - 1, math.ceil(target * len(at)) - 1)]) + 1
 
 
+def cosines(cand: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Row by row, so that a vector has the same score wherever it is met."""
+    scale = np.sqrt((cand * cand).sum(1)) * math.sqrt(float((query * query).sum()))
+    return (cand * query).sum(1) / scale
+
+
 def scan_list(ids: np.ndarray, original: np.ndarray, rotated: np.ndarray, query_id: int, query: np.ndarray, turned: np.ndarray, limit: float, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and cosines of the best k of one list's block; ``limit``: squared distance of the k-th best known."""
     dim = rotated.shape[0]
@@ -139,9 +146,7 @@ def scan_list(ids: np.ndarray, original: np.ndarray, rotated: np.ndarray, query_
     if len(alive) > 4 * k:  # cut by rotated distance, leaving room for its rounding
         edge = np.partition(part, k - 1)[k - 1] * (1 + 1e-9) + 1e-10
         alive = alive[part <= edge]
-    cand = original[alive]
-    scale = np.sqrt((cand * cand).sum(1)) * math.sqrt(float((query * query).sum()))
-    score = (cand * query).sum(1) / scale
+    score = cosines(original[alive], query)
     best = np.lexsort((ids[alive], -score))[:k]
     return ids[alive][best], score[best]
 
@@ -199,6 +204,27 @@ def nearest(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_
                         limits.append(limit)
             yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(v, pa.binary()), pa.array(lists, pa.int32()), pa.array(limits, pa.float64())], ["query_id", "q", "list", "limit"])
 
+    first = spark.sparkContext.broadcast(_matrix([bytes(r.v) for r in sample[:SEED_ROWS]], dim))
+
+    def seeded(batches):
+        """The seeds that set a query's limit, with their scores."""
+        m = routing.value
+        for b in batches:
+            raw = b.column("v").to_pylist()
+            if not raw:
+                continue
+            ids, asked = b.column("vec_id").to_numpy(), _matrix(raw, dim)
+            turned = _unit(asked) @ m.rotation
+            qid, vid, score = [], [], []
+            for i in range(len(ids)):
+                others = np.flatnonzero(m.seed_ids != ids[i])
+                d = ((m.seeds[others] - turned[i]) ** 2).sum(1)
+                best = others[np.argpartition(d, k - 1)[:k]] if len(d) > k else others
+                qid += [int(ids[i])] * len(best)
+                vid += m.seed_ids[best].tolist()
+                score += cosines(first.value[best], asked[i]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(vid, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
     queries = vectors.where(is_query).select("vec_id", "v")
     n_chunks = 1 + queries.count() // QUERY_ROWS
     routed = arrow_map(queries, route, "query_id bigint, q binary, list int, limit double")
@@ -223,6 +249,10 @@ def nearest(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_
 
     keys = ["list", "block", "chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    # a row met both ways counts once, rows that repeat each other as often as either way has them
+    both = found.withColumn("way", F.lit(0)).unionByName(arrow_map(queries, seeded, "query_id bigint, vec_id bigint, score double").withColumn("way", F.lit(1)))
+    same = Window.partitionBy("query_id", "vec_id", "score", "way").orderBy("way")
+    found = both.withColumn("copy", F.row_number().over(same)).select("query_id", "vec_id", "score", "copy").distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
