@@ -74,7 +74,7 @@ def test_short_item(spark):
 
 
 PATTERNS = [
-    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
 ]
@@ -89,7 +89,7 @@ def base_digest(text):
 
 def odd_texts():
     rnd = random.Random(0)
-    parts = ["token", "=", ":", " ", '"', "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "x", "ü", "😀", "password", "abc", "api_key", "APIKEY", "hunter22", "\n", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20]
+    parts = ["token", "=", ":", " ", '"', "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "x", "ü", "😀", "password", "abc", "api_key", "APIKEY", "hunter22", "\n", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20, "ToKeN=", "pa\u017f\u017fword=hunter222", "to\u212aen=hunter222"]
     return [None, "", "token: token: abcdefgh", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "token=" + "a" * 50_000] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(30))) for _ in range(300)]
 
 
@@ -107,6 +107,37 @@ def test_secrets_against_brute_force(spark):
     assert secrets.find(df.limit(0)).count() == 0
 
 
+def test_redaction_against_brute_force(spark):
+    texts = odd_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = {r.doc_id: [(s.start, s.stop) for s in r["__secret_spans"]] for r in secrets.scan(df).collect()}
+    for r in secrets.redact(df).collect():
+        text, at, out = texts[r.doc_id] or "", 0, ""
+        for start, stop in spans[r.doc_id]:
+            if start >= at:
+                out, at = out + text[at:start] + "[SECRET]", stop
+            else:
+                at = max(at, stop)
+        assert r.text == (texts[r.doc_id] if not spans[r.doc_id] else out + text[at:])
+
+
+def test_many_matches_take_no_square_of_time(spark):
+    """A text of 60,000 matches, in the time that four of a quarter of them take."""
+    import time
+
+    line = "token=abcdefgh12 ü "
+
+    def seconds(n, copies):
+        df = spark.createDataFrame([(i, line * n) for i in range(copies)], "doc_id bigint, text string").coalesce(1)
+        began = time.time()
+        rows = secrets.redact(df).select("doc_id", "text").collect()
+        assert all(r.text == "[SECRET] ü " * n for r in rows)
+        return time.time() - began
+
+    seconds(10, 1)
+    assert seconds(60_000, 1) < 3 * seconds(15_000, 4) + 5
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q("abc[0-9]+def") == frozenset([frozenset(["abc", "def"])])

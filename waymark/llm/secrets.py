@@ -8,12 +8,13 @@ candidates for its rule, and only there does the regex run. A rule without manda
 over every text.
 
 Spans. Matches of a rule are leftmost and don't overlap; those of too short a value are dropped after
-matching. Offsets are code points, from the lengths of what lies between the matches.
+matching. Offsets are code points, from the lengths of what lies between the matches, summed up by doubling
+steps; texts are cut at spans by halving. So time grows with a text's length, and with its number of matches n as n log n.
 
 Edge cases: a null text is empty; a document with a null doc_id has no posting and is scanned by every
 rule; of rows that repeat a doc_id each is scanned if any satisfies the query; texts are whole; an
-empty table gives no rows. Time grows with the square of the number of matches within one text.
-Only named columns are read, but ``redact`` keeps all of them.
+empty table gives no rows. "Either case" means the 52 ASCII letters: what Unicode folds to them (the long s, the
+Kelvin sign, dotless i) doesn't count. Only named columns are read, but ``redact`` keeps all of them.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import materialize, small_or_shuffled
 
 MAX_EXACT = 48
+#: Doubling steps of running sums: enough for the longest array that Spark holds.
+MAX_STEPS = 31
 SPANS = "array<struct<start:int,ord:int,stop:int,kind:string,size:int>>"
 
 
@@ -41,8 +44,13 @@ class Rule:
     least: int = 1
 
 
+def either_case(word: str) -> str:
+    """A word (or part of a pattern) in ASCII letters of either case, spelled out so that every engine agrees."""
+    return "".join(f"[{c.upper()}{c}]" if c.isascii() and c.isalpha() else c for c in word)
+
+
 BASE = (
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    Rule("assign", rf"""({either_case("password|passwd|secret|token|api_?key")})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     # A run of these characters is matched whole, so a least length may stand in the pattern.
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
@@ -54,7 +62,7 @@ EXTRA = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"sk_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/=-]{20,}"),
+    Rule("bearer", rf"{either_case('bearer')}\x20+[A-Za-z0-9._~+/=-]{{20,}}"),
 )
 RULES = BASE + EXTRA
 
@@ -173,22 +181,26 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     return met.join(needs_df, "alternative").where("have = need").groupBy("doc_id").agg(F.bit_or("rule").alias("rules")), full
 
 
+def _running(a: str) -> str:
+    """Running sums of an array of ints, as SQL: after step k every element holds the sum of the 2^k up to it."""
+    steps = f"sequence(0, least({MAX_STEPS}, cast(ceil(log2(greatest(size({a}), 1))) as int)))"
+    return f"aggregate({steps}, {a}, (s, k) -> if(shiftleft(1, k) >= size(s), s, transform(s, (x, i) -> x + coalesce(get(s, i - shiftleft(1, k)), 0))))"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL with a value computed once under a name."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
 def _spans(rule: Rule, text: str, order: int):
     """Array of struct(start, kind order, end, kind) of a rule's matches, as SQL."""
     pattern = rule.pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return F.expr(
-        f"""
-        filter(
-          aggregate(
-            arrays_zip(regexp_extract_all({text}, '{pattern}', 0), regexp_extract_all({text}, '{pattern}', {rule.group}), slice(split({text}, '{pattern}', -1), 1, size(regexp_extract_all({text}, '{pattern}', 0)))),
-            named_struct('at', 0, 'out', cast(array() as {SPANS})),
-            (a, x) -> named_struct(
-              'at', a.at + char_length(x.`2`) + char_length(x.`0`),
-              'out', array_append(a.out, named_struct('start', a.at + char_length(x.`2`), 'ord', {order}, 'stop', a.at + char_length(x.`2`) + char_length(x.`0`), 'kind', '{rule.kind}', 'size', char_length(x.`1`)))),
-            a -> a.out),
-          s -> s.size >= {rule.least})
-        """
-    )
+    lengths = lambda a: f"transform({a}, c -> char_length(c))"
+    found = f"named_struct('m', {lengths(f"regexp_extract_all({text}, '{pattern}', 0)")}, 'v', {lengths(f"regexp_extract_all({text}, '{pattern}', {rule.group})")}, 'g', {lengths(f"split({text}, '{pattern}', -1)")})"
+    ends = _running("zip_with(f.m, slice(f.g, 1, size(f.m)), (m, g) -> m + g)")
+    span = f"named_struct('start', get(e, i) - m, 'ord', {order}, 'stop', get(e, i), 'kind', '{rule.kind}', 'size', get(f.v, i))"
+    spans = f"transform(f.m, (m, i) -> {span})"
+    return F.expr(f"filter({_let('f', found, _let('e', ends, spans))}, s -> s.size >= {rule.least})")
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,20 +236,31 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     )
 
 
+def _redacted(text: str, spans: str, mark: str) -> str:
+    """SQL of a text with its spans (sorted by start, overlapping ones as one) replaced."""
+    # a span starts a stretch of its own if it begins beyond the furthest end before it; prefix maxima by doubling
+    steps = f"sequence(0, least({MAX_STEPS}, cast(ceil(log2(greatest(size({spans}), 1))) as int)))"
+    reach = f"aggregate({steps}, transform({spans}, s -> s.stop), (a, k) -> if(shiftleft(1, k) >= size(a), a, transform(a, (x, i) -> greatest(x, coalesce(get(a, i - shiftleft(1, k)), 0)))))"
+    starts = f"filter(transform({spans}, (s, i) -> if(i = 0 or s.start >= get(r, i - 1), i, -1)), i -> i >= 0)"
+    # the ends of the pieces: text up to a stretch, the stretch, and so on; then what is left
+    cuts = f"concat(flatten(transform(b, (i, j) -> array(get({spans}, i).start, get(r, coalesce(get(b, j + 1), size(r)) - 1)))), array(char_length({text})))"
+    base = "if(p.lo = 0, 0, get(c, p.lo - 1))"
+    at = "(p.lo + p.hi) div 2"
+    halves = f"""array(named_struct('t', substring(p.t, 1, get(c, {at} - 1) - {base}), 'lo', p.lo, 'hi', cast({at} as int)),
+                       named_struct('t', substring(p.t, get(c, {at} - 1) - {base} + 1), 'lo', cast({at} as int), 'hi', p.hi))"""
+    rounds = "sequence(1, cast(ceil(log2(size(c))) as int))"
+    pieces = f"aggregate({rounds}, array(named_struct('t', {text}, 'lo', 0, 'hi', size(c))), (a, k) -> flatten(transform(a, p -> if(p.hi - p.lo > 1, {halves}, array(p)))))"
+    joined = f"array_join(transform({pieces}, (p, i) -> if(i % 2 = 1, '{mark}', p.t)), '')"
+    return _let("r", reach, _let("b", starts, _let("c", cuts, joined)))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The input with each found span of text (overlapping ones as one) replaced by ``mark``."""
     scanned = scan(docs, rules, id_col, text_col)
-    body = F.col(text_col)
-    rebuilt = F.aggregate(
-        "__secret_spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(body, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(body, a["at"] + 1, F.char_length(body))),
-    )
-    return scanned.withColumn(text_col, F.when(F.size("__secret_spans") > 0, rebuilt).otherwise(body)).drop("__secret_spans")
+    body = "`" + text_col.replace("`", "``") + "`"
+    quoted = mark.replace("\\", "\\\\").replace("'", "\\'")
+    rebuilt = F.expr(_redacted(body, "__secret_spans", quoted))
+    return scanned.withColumn(text_col, F.when(F.size("__secret_spans") > 0, rebuilt).otherwise(F.col(body))).drop("__secret_spans")
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
