@@ -144,7 +144,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs = labelled.agg(F.count_distinct("lang")).head()[0]
     if not langs:
-        return train(np.zeros((0, 1), np.uint8), [])
+        return train(np.zeros((0, (1 << BITS) // 8), np.uint8), [])
     keys = smallest_by_hash(labelled.where(F.col("id").isNotNull()).select("id", "lang"), "id", ["lang"], max(1, max_rows // langs))
 
     def pack(batches):
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = sorted((r.lang, bytes(r.bits)) for r in arrow_map(texts, pack, "lang string, bits binary").collect())
     rng = np.random.default_rng(7)
     rows = [rows[i] for i in rng.permutation(len(rows))]
-    flags = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), -1)
+    flags = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(len(rows), (1 << BITS) // 8)
     return train(flags, [r[0] for r in rows])
 
 
