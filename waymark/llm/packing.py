@@ -7,9 +7,9 @@ shortest pack so far (the one with most room), as counts: a pattern is a list of
 number of packs that have it. Then patterns are joined back to the pieces by rank: the r-th piece of
 a length takes the r-th slot of that length.
 
-Ranks come without any window over a whole length: pieces are spread by hash over salts, salts
-are counted per length, the counts are summed up over salts, and a piece is ranked within
-its (salt, length) only.
+Ranks come without any window over a whole length: pieces are spread over salts by a number that is
+stored with them (repeated rows have different ones), salts are counted per length, the counts are summed
+up over salts, and a piece is ranked within its (salt, length) only.
 
 Edge cases: a null or empty text is the end id alone; texts are cut, never shortened; repeated rows
 are packed each for itself; ids of documents may be null; an empty table gives no rows. Only
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import arrow_map, materialize
+from waymark.llm.common import arrow_map, materialize, mix64
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -123,11 +123,12 @@ def word_ids(path: str) -> WordIds:
 
 
 def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and spread: a number that repeated rows of one
+    task don't share."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        known = word_ids(tokenizer)
+        known, seen = word_ids(tokenizer), 0
         for b in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
@@ -141,11 +142,13 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     crc.append(zlib.crc32(part))
                     total.append(n)
             ids = b.column("id").take(pa.array(row, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            spread = mix64((np.array(crc, np.uint64) << np.uint64(32)) ^ np.arange(seen, seen + len(row), dtype=np.uint64)).view(np.int64)
+            seen += len(row)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (start, length, crc, total, spread))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "spread"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return arrow_map(src, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return arrow_map(src, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, spread bigint")
 
 
 def shortest_pack_first(histogram: dict[int, int], max_tokens: int) -> list[tuple[tuple[int, ...], int]]:
@@ -199,7 +202,7 @@ def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, rows_per_salt: int = R
     spark = pieces.sparkSession
     histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     salts = 1 + sum(histogram.values()) // rows_per_salt
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod("spread", F.lit(salts)))
     counted = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
