@@ -1,45 +1,21 @@
-"""Helpers shared by the training-data operators: the shared scratch folder, written
-intermediate tables, bounded training samples, and word hashing for Python workers."""
+"""Helpers shared by the training-data operators: bounded batches and training samples, joins with hot
+keys, and word hashing for Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import re
-import tempfile
-import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-WORD = re.compile(r"\w+")
-_OWN_DIR: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a folder of our own."""
-    global _OWN_DIR
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _OWN_DIR is None:
-        _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="waymark-")
-    return _OWN_DIR
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, is evaluated once,
-    and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from waymark.sources.scratch import materialize, scratch_path  # noqa: F401 - the operators' own import
 
+WORD = re.compile(r"\w+")
 
 #: Id tables of up to this many rows (some 16 MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -51,13 +27,48 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` with batches small enough for long texts. The limits are settings of the session,
-    read when the query is planned; smaller ones of the caller's stay."""
+    read when the query is planned; smaller ones of the caller's stay. A worker gives freed memory back at
+    the end of each task."""
     conf = df.sparkSession.conf
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = conf.get(key, None)
         if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
             conf.set(key, str(most))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+#: Rows of one key that a task may join by itself; a key with more is spread over several.
+HOT_ROWS = 500_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` (stored) joined with ``right`` (a row or few per key), no key being one task's however many rows
+    ``left`` has of it: keys of more than ``HOT_ROWS`` rows are counted, at most rows / HOT_ROWS of them, and spread over
+    salts, each with its copy of the right rows. ``counts``: (key, n) of ``left``, if known."""
+    n = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = materialize(n.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("__salts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    salts = small_or_shuffled(hot)
+    spread = left.join(salts, key, "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__salts"))).otherwise(0).cast("int")).drop("__salts")
+    copies = right.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return spread.join(copies, [key, "__salt"], how).drop("__salt")
 
 
 def small_or_shuffled(stored: DataFrame) -> DataFrame:
