@@ -73,6 +73,46 @@ def test_short_item(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(df, seeds, min_score=0.9).collect()] == [(1, 7)]
 
 
+def leaks_by_brute_force(docs, items, min_score):
+    """Every item aligned with every whole text, without seeds or windows."""
+    words = {i: re.findall(r"\w+", (t or "").lower()) for i, t in [*docs, *items]}
+    vocab = {w: k for k, w in enumerate(sorted({w for ws in words.values() for w in ws}))}
+    number = {i: np.array([vocab[w] for w in ws], np.int64) for i, ws in words.items()}
+    return {(d, k) for d, _ in docs for k, _ in items if len(number[k]) and decontaminate.smith_waterman(number[k], number[d])[0] >= min_score * 2 * len(number[k])}
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_seeding_against_all_pairs_alignment(spark, monkeypatch, parts):
+    """The seeds find the pairs that alignment of all pairs finds; text ids, and a benchmark taken in parts."""
+    if parts:
+        monkeypatch.setattr(decontaminate, "MAX_ITEMS", 6)
+    rnd = random.Random(11)
+    filler = lambda n: [f"f{rnd.randrange(300)}" for _ in range(n)]
+    items = [(f"item-{k}", " ".join(f"b{rnd.randrange(250)}" for _ in range(rnd.choice([12, 30, 60])))) for k in range(20)]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        for j, rate in enumerate((0.0, 0.1, 0.2, 0.3)):
+            docs.append((10 * k + j, " ".join(filler(40) + edited(t.split(), rate, rnd) + filler(30))))
+        docs.append((10 * k + 9, " ".join(filler(120))))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    fitted = decontaminate.fit(df, spark.createDataFrame(items, "item_id string, text string"))
+    assert len(fitted.parts) == (7 if parts else 1)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, fitted).collect()}
+    want = leaks_by_brute_force(docs, items, decontaminate.MIN_SCORE)
+    assert got <= want and len(got) >= 0.98 * len(want)
+    assert {r.doc_id for r in decontaminate.clean(df, fitted).collect()} == {d for d, _ in docs} - {d for d, _ in got}
+
+
+def test_op2_query_against_brute_force(spark):
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    short = [(r.doc_id, r.text) for r in rows if len(r.text or "") < 2000][:60]
+    want = {(d, k) for d, k in leaks_by_brute_force([(("d", a), b) for a, b in short], [(("i", a), b) for a, b in items], decontaminate.MIN_SCORE)}
+    got = {(("d", r.doc_id), ("i", r.item_id)) for r in decontaminate.op2_decontaminate(spark, FOLDER).collect()}
+    asked = {("d", a) for a, _ in short}
+    assert {x for x in got if x[0] in asked} == want
+
+
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),

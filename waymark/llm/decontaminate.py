@@ -13,31 +13,35 @@ Alignment. Words of the window and the item are aligned locally (match +2, misma
 -1); the score is over that of the item against itself. Pairs of at least ``MIN_SCORE`` are leaks: exact
 copies score 1, and copies with words changed, dropped or put in lose some.
 
-The benchmark is small (``MAX_ITEMS`` rows at most; more is refused), which bounds what each task
-holds; the corpus is only streamed through, so there is no shuffle but of the counts.
+What each task holds of the benchmark is bounded: one of more than ``MAX_ITEMS`` items or ``MAX_BYTES`` bytes of text
+is taken in parts (items by hash), each with its own passes over the corpus; an item's result doesn't depend on the
+others, so parts change nothing. The corpus is only streamed through: there is no shuffle but of the counts.
 
 Edge cases: null and empty texts have no words and match nothing; an item with a null id or without
 words is left out; one of fewer words than a seed is sought as a whole; repeated items are
-separate items; repeated documents each get rows; an empty table gives no rows. Only named columns are
-read.
+separate items; ids of items may be of any type, and are returned as they are; repeated documents each get rows; an
+empty table gives no rows. Only named columns are read.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import arrow_map, words_of
+from waymark.llm.common import arrow_map, mix64, words_of
 
 SEED = 3
 RARE = 0.3
 GAP = 10
 MIN_SCORE = 0.45
 MAX_ITEMS = 200_000
+MAX_BYTES = 64 << 20
 SLACK = 8
 
 
@@ -53,11 +57,12 @@ class Seeds:
         self.places = np.empty((0, 2), np.int64)
 
     @staticmethod
-    def grams(words: np.ndarray, n: int) -> np.ndarray:
-        """Keys of all n-grams; words are numbers below 2**21, so three fit in a key exactly."""
-        key = np.zeros(len(words) - n + 1, np.uint64)
+    def grams(words: np.ndarray, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Keys of the n-grams at some places (of all, without): hashes, whose collisions alignment sorts out."""
+        at = np.arange(len(words) - n + 1) if at is None else at
+        key = np.full(len(at), n, np.uint64)
         for j in range(n):
-            key = (key << np.uint64(21)) | (words[j : j + len(key)].astype(np.uint64) + np.uint64(1))
+            key = mix64(key ^ words[at + j].astype(np.uint64)) + np.uint64(j + 1)
         return key
 
     def choose(self, counts: np.ndarray, total: int, rare: float = RARE) -> None:
@@ -93,9 +98,7 @@ class Seeds:
             inside = np.flatnonzero(np.convolve(known, np.ones(n, int), "valid") == n)
             if not len(inside):
                 continue
-            key = np.zeros(len(inside), np.uint64)
-            for j in range(n):
-                key = (key << np.uint64(21)) | (numbers[inside + j].astype(np.uint64) + np.uint64(1))
+            key = self.grams(numbers, n, inside)
             at = np.searchsorted(self.keys, key)
             at[at == len(self.keys)] = 0
             for i in np.flatnonzero(self.keys[at] == key) if len(self.keys) else ():
@@ -133,20 +136,37 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str) -> Seeds:
-    rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items: split the benchmark and union the results")
-    items = sorted((r.i, words) for r in rows if (words := words_of(r.t)))
-    seeds = Seeds(items)
-    if len(seeds.vocab) >= (1 << 21) - 1:
-        raise ValueError("the benchmark's vocabulary is too large: split it and union the results")
-    return seeds
+def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> list[Seeds]:
+    """The benchmark in parts that keep its bounds. One item's text is held whole, whatever its length."""
+    rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).head()
+    n = max(1, -(-size.n // (MAX_ITEMS // 2)), -(-(size.b or 0) // (MAX_BYTES // 2))) if size.n > MAX_ITEMS or (size.b or 0) > MAX_BYTES else 1
+    out = []
+    for part in range(n):
+        own = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == part).collect()
+        items = sorted(((r.i, words) for r in own if (words := words_of(r.t))), key=lambda x: (str(x[0]), x[1]))
+        if items or not out:
+            out.append(Seeds(items))
+    return out
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Seeds:
+@dataclass
+class Fitted:
+    """Seeds of the parts of a benchmark, and the type of its ids."""
+
+    parts: list[Seeds]
+    item_type: str
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Fitted:
     """Seeds of a benchmark, rare by the word counts of the whole corpus."""
-    seeds = _items(benchmark, item_col, item_text_col)
+    parts = _parts(benchmark, item_col, item_text_col)
+    for seeds in parts:
+        _count(docs, seeds, text_col)
+    return Fitted(parts, benchmark.schema[item_col].dataType.simpleString())
+
+
+def _count(docs: DataFrame, seeds: Seeds, text_col: str) -> None:
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def count(batches):
@@ -162,25 +182,30 @@ def fit(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
 
     counted = arrow_map(docs.select(F.col(text_col).alias("text")), count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts, total = np.zeros(len(seeds.vocab), np.int64), 0
-    for r in counted.collect():  # one row per word of the benchmark
+    for r in counted.collect():  # one row per word of this part of the benchmark
         if r.word < 0:
             total = r.n
         else:
             counts[r.word] = r.n
     seeds.choose(counts, total)
-    return seeds
+    shared.destroy()
 
 
-def leaks(docs: DataFrame, seeds: Seeds, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, keep: list[str] | None = None) -> DataFrame:
+def leaks(docs: DataFrame, fitted: Fitted, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, keep: list[str] | None = None) -> DataFrame:
     """A row per document (its id, or the ``keep`` columns) and item it leaks: item_id, score, word_start,
     word_end (the window's words, end exclusive)."""
+    found = [_leaks(docs, seeds, fitted.item_type, id_col, text_col, min_score, keep) for seeds in fitted.parts]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _leaks(docs: DataFrame, seeds: Seeds, item_type: str, id_col: str, text_col: str, min_score: float, keep: list[str] | None) -> DataFrame:
     names = [id_col] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches):
         s = shared.value
         for b in batches:
-            row, item_id, score, start, end = [], [], [], [], []
+            row, item_no, score, start, end = [], [], [], [], []
             for i, text in enumerate(b.column("__text").to_pylist()):
                 numbers = s.number(words_of(text))
                 for item, hits in s.hits(numbers).items():
@@ -190,23 +215,32 @@ def leaks(docs: DataFrame, seeds: Seeds, id_col: str = "doc_id", text_col: str =
                         best = max(best, (got / (2 * len(words)), lo, hi))
                     if best[0] >= min_score:
                         row.append(i)
-                        item_id.append(s.ids[item])
+                        item_no.append(item)
                         score.append(best[0])
                         start.append(best[1])
                         end.append(best[2])
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(at) for c in names), pa.array(item_id, pa.int64()), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                [*names, "item_id", "score", "word_start", "word_end"],
+                [*(b.column(c).take(at) for c in names), pa.array(item_no, pa.int64()), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
+                [*names, "item_no", "score", "word_start", "word_end"],
             )
 
     src = docs.select(*names, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "__text")
-    return arrow_map(src, run, f"{schema}, item_id bigint, score double, word_start bigint, word_end bigint")
+    met = arrow_map(src, run, f"{schema}, item_no bigint, score double, word_start bigint, word_end bigint")
+    # at most MAX_ITEMS rows
+    ids = docs.sparkSession.createDataFrame(list(enumerate(seeds.ids)), f"item_no bigint, item_id {item_type}")
+    return met.join(F.broadcast(ids), "item_no").select(*names, "item_id", "score", "word_start", "word_end")
 
 
-def clean(docs: DataFrame, seeds: Seeds, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+def clean(docs: DataFrame, fitted: Fitted, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item."""
+    for seeds in fitted.parts:
+        docs = _clean(docs, seeds, text_col, min_score)
+    return docs
+
+
+def _clean(docs: DataFrame, seeds: Seeds, text_col: str, min_score: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(seeds)
 
     def run(batches):
