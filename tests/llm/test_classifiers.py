@@ -1,7 +1,13 @@
 """Language, quality and toxicity: held-out accuracy, and odd inputs."""
 
+import math
+import re
+import zlib
+
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from waymark.llm import language_id, quality, toxicity
 from waymark.llm.common import id_crc
@@ -83,15 +89,58 @@ def test_quality_odd_inputs(spark, docs):
     assert quality.score(odd(spark).limit(0), model).count() == 0
 
 
-def test_toxicity(spark):
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").withColumnRenamed("toxic", "marked")
-    rows = toxicity.op1_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
+def test_toxicity_held_out(spark):
+    """Learned from two thirds of the labels, read against the rest."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    held = labels.where(id_crc("doc_id") % 3 == 0).select("doc_id", F.col("toxic").alias("marked"))
+    model = toxicity.fit(docs, labels.where(id_crc("doc_id") % 3 != 0))
+    rows = toxicity.score(docs.join(held, "doc_id", "left_semi"), model).join(held, "doc_id").collect()
     clean, bad = [r for r in rows if not r.marked], [r for r in rows if r.marked]
-    assert np.mean([r.toxic for r in bad]) > 0.75
+    assert len(bad) > 50
+    assert np.mean([r.toxic for r in bad]) > 0.85
     assert np.mean([r.toxic for r in clean]) < 0.02
     assert np.mean([r.severity for r in bad]) > 1 > np.mean([r.severity for r in clean])
 
 
+def test_op1_query_against_brute_force(spark):
+    """Each row's severity, summed up from the model's tables word by word."""
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.features.tolist(), model.weights.tolist()))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.op1_toxicity(spark, FOLDER).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        words = set(re.findall(r"\w+", (text[r.doc_id] or "").lower()))
+        forms = words | {w[:n] + "*" for w in words for n in toxicity.PREFIXES if len(w) > n}
+        eta = sum(weight.get(xxhash.xxh32_intdigest(f.encode("utf-8", "surrogatepass")), 0.0) for f in forms)
+        at_least = [1 / (1 + math.exp(-max(-50, min(50, eta - t)))) for t in model.thresholds]
+        assert r.severity == pytest.approx(sum(at_least), abs=1e-9) and r.p_toxic == pytest.approx(at_least[0], abs=1e-9)
+        assert r.toxic == int(at_least[0] >= 0.5)
+
+
+def test_op6_query_against_brute_force(spark, docs):
+    """Each row's score, from its features one entry at a time."""
+    model = quality.model_of(spark, docs, FOLDER)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = quality.op6_quality(spark, FOLDER).collect()
+    assert len(got) == len(text)
+    for r in got:
+        x = quality.features(text[r.doc_id])
+        z = model.base + sum(t[np.searchsorted(c, x[j], side="right")] for j, (c, t) in enumerate(zip(model.cuts, model.tables)))
+        z += sum(t[np.searchsorted(model.pair_cuts[i], x[i], side="right"), np.searchsorted(model.pair_cuts[j], x[j], side="right")] for i, j, t in model.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_language_without_letters(spark):
+    """Labelled rows of which none has a letter teach nothing: every document is und."""
+    df = spark.createDataFrame([(1, "12 34", "en"), (2, "!?", "de"), (3, None, "fr")], "doc_id bigint, text string, lang string")
+    model = language_id.fit(df)
+    assert {(r.lang_pred, r.score) for r in language_id.classify(odd(spark), model).collect()} == {("und", 0.0)}
+
+
 def test_ordinal_weights_are_shared():
     rng = np.random.default_rng(0)
     f = np.arange(1, 7, dtype=np.uint32)

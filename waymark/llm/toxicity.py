@@ -10,7 +10,9 @@ there are enough (smallest hashes of doc_id; each half is weighted back to its s
 labels). Features whose presence isn't associated with a grade above 0 (|z| < ``MIN_Z``) get no weight.
 
 Where labels only say toxic or not, ``severity_grades`` makes ordered grades of them: 0 for not
-toxic, and for toxic ones the tercile of their number of associated features (1 to 3). A rate per
+toxic, and for toxic ones the tercile of their number of associated features (1 to 3). What is learned from people
+is then the first threshold, toxic or not; the grades beyond it rank how much evidence of toxicity a document
+holds, which no label bears out. Labels of several grades (``binary=False``) are learned as they are. A rate per
 word would suit worse: features are present or not, so no weights could express it.
 
 Edge cases: null or empty text has no words and gets the severity of the thresholds alone; null
@@ -29,9 +31,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WordHash, arrow_map, sampled_texts, smallest_by_hash, words_of
+from waymark.llm.common import WordHash, arrow_map, materialize, sampled_texts, smallest_by_hash, words_of
 
 MAX_ROWS = 12_000
+MAX_FEATURES = 1 << 17
 MIN_Z = 4.0
 MIN_DOCS = 5
 LASSO = 3e-5
@@ -138,6 +141,11 @@ def severity_grades(toxic: np.ndarray, found: np.ndarray) -> np.ndarray:
     return grade
 
 
+def associated(hits: np.ndarray, df: np.ndarray, rows: int, share: float) -> np.ndarray:
+    """z of each feature: ``hits`` of its ``df`` documents have a grade above 0, of all a ``share`` has."""
+    return (hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
+
+
 def train(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, binary: bool) -> Model:
     """docs: distinct feature hashes; y: grades from 0."""
     none = Model(np.empty(0, np.uint32), np.empty(0), np.full(1, 50.0))
@@ -148,9 +156,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, binary: boo
     features, cols = np.unique(np.concatenate(docs), return_inverse=True)
     df = np.bincount(cols, minlength=len(features))
     pos = (y > 0).astype(float)
-    share = pos.mean()
-    hits = np.bincount(cols, pos[rows], len(features))
-    z = (hits - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
+    z = associated(np.bincount(cols, pos[rows], len(features)), df, len(docs), pos.mean())
     kept = (np.abs(z) >= MIN_Z) & (df >= MIN_DOCS)
     if binary:
         strong = (z >= MIN_Z) & kept
@@ -164,7 +170,9 @@ def train(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, binary: boo
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, binary: bool = True) -> Model:
-    """Learn from ``labels`` (grades from 0 up; ``binary``: 0 or 1, graded by density)."""
+    """Learn from ``labels`` (grades from 0 up; ``binary``: 0 or 1, graded by density). The sampled documents' features
+    are counted on the executors; the driver gets those that are associated with grades, ``MAX_FEATURES`` at
+    most, and for each document which of these it has."""
     marks = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
         .groupBy(F.col(id_col).alias("id"))
@@ -181,9 +189,39 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y"), pa.array(h, pa.binary())], ["id", "y", "h"])
 
     texts = sampled_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keys.select("id", "y"), "id", "text", ["y"])
-    got = sorted(arrow_map(texts, rows, "id string, y int, h binary").collect(), key=lambda r: r.id)
+    stored = materialize(arrow_map(texts, rows, "id string, y int, h binary"), "features")
+    seen = {r.pos: r["count"] for r in stored.groupBy((F.col("y") > 0).cast("int").alias("pos")).count().collect()}
+    n = sum(seen.values())
+    if not seen.get(1):
+        return train([], np.array([], np.int64), np.array([]), binary)
+
+    def counted(batches):
+        df, hits = np.empty(0, np.uint32), np.empty(0, np.uint32)
+        for b in batches:
+            every = [np.frombuffer(h.as_buffer(), np.uint32) for h in b.column("h")]
+            if every:
+                pos = [e for e, y in zip(every, b.column("y").to_pylist()) if y > 0]
+                df, hits = np.concatenate(every), np.concatenate(pos or [np.empty(0, np.uint32)])
+                f, c = np.unique(df, return_counts=True)
+                g, k = np.unique(hits, return_counts=True)
+                h = np.zeros(len(f), np.int64)
+                h[np.searchsorted(f, g)] = k
+                yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(c), pa.array(h)], ["f", "df", "hits"])
+
+    share = seen[1] / n
+    z = (F.col("hits") - F.col("df") * share) / F.sqrt(F.greatest(F.col("df") * share * (1 - share), F.lit(1e-9)))
+    counts = arrow_map(stored, counted, "f bigint, df bigint, hits bigint").groupBy("f").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits"))
+    best = counts.where((F.abs(z) >= MIN_Z) & (F.col("df") >= MIN_DOCS)).orderBy(F.desc(F.abs(z)), "f").limit(MAX_FEATURES)
+    kept = np.sort(np.array([r.f for r in best.select("f").collect()], np.uint32))
+    shared = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def narrowed(batches):
+        for b in batches:
+            h = [np.intersect1d(np.frombuffer(x.as_buffer(), np.uint32), shared.value, assume_unique=True).tobytes() for x in b.column("h")]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(h, pa.binary())], ["id", "y", "h"])
+
+    got = sorted(arrow_map(stored, narrowed, "id string, y int, h binary").collect(), key=lambda r: r.id)
     y = np.array([r.y for r in got], np.int64)
-    seen = np.bincount((y > 0).astype(int), minlength=2)
     weight = np.array([totals.get(int(v > 0), 1) / seen[int(v > 0)] for v in y], float)
     parts = [np.frombuffer(r.h, np.uint32) for r in got]
     return train(parts, y, weight, binary)
