@@ -77,14 +77,49 @@ def test_classes_match_brute_force(spark):
     assert all(r.class_size == sizes[r.class_id] for r in rows)
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
-    """With every bucket treated as large, the links come through the prefix join."""
-    monkeypatch.setattr(near_dup, "SMALL_BUCKET", 2)
+def test_hot_keys_are_spread(spark, monkeypatch):
+    """With a limit of a few rows a key, every join goes through salts, and nothing changes."""
+    from waymark.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     docs = corpus()
     rows = near_dup.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    want = brute(docs)
+    assert {r.doc_id: r.class_id for r in rows} == want
+    sizes = {c: list(want.values()).count(c) for c in want.values()}
+    assert all(r.class_size == sizes[r.class_id] for r in rows)
+
+
+def test_links_that_the_least_member_hasnt(spark):
+    """Texts that share most of a passage fall into the same buckets without being alike; among them are pairs that are."""
+    rng = np.random.default_rng(9)
+    text = lambda n: [f"w{rng.integers(0, 90000)}" for _ in range(n)]
+    shared, docs, i = text(170), [], itertools.count(1)
+    for _ in range(60):
+        own = text(rng.integers(28, 45))
+        docs.append((next(i), " ".join(shared + own)))
+        for _ in range(int(rng.integers(0, 3))):
+            twin = own.copy()
+            twin[int(rng.integers(0, len(own)))] = text(1)[0]
+            docs.append((next(i), " ".join(shared + twin)))
+    order = rng.permutation(len(docs))
+    docs = [(k + 1, docs[j][1]) for k, j in enumerate(order)]
+    rows = near_dup.classes(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
     assert {r.doc_id: r.class_id for r in rows} == brute(docs)
 
 
+def test_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    assert {r.doc_id: r.class_id for r in near_dup.op4_near_dup(spark, folder).collect()} == brute(docs)
+
+
+def test_one_doc_id_with_two_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    rows = near_dup.classes(spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.class_size) for r in rows) == [(1, 1, 4), (2, 1, 4), (2, 1, 4), (3, 1, 4)]
+
+
 def test_one_of_each(spark):
     t = " ".join(f"a{i}" for i in range(50))
     rows = [(1, t, "x"), (2, t, "y"), (3, "other text with words in it", "z"), (3, "other text with words in it", "z"), (None, t, "n"), (4, None, "e"), (5, "", "e")]

@@ -14,15 +14,20 @@ sets agree in a coordinate with the probability of their weighted Jaccard simila
 Joining. ``BANDS`` bands of ``ROWS`` coordinates are hashed; two sets of similarity 0.8 miss each other in
 all bands with probability (1 - 0.8^4)^24 = 3e-6. In each bucket the representatives are paired
 with the bucket's least one, never with each other; pairs are verified on the whole shingle sets.
-Links make components. Then buckets that still hold several components are looked at again: small ones
-are paired in full; in larger ones those members go through a prefix-filtered join on
-shingles, rarest first, which is exact. So no bucket is capped and no link is lost to a bucket's least
-member being unlike the rest.
+Links make components. Then the members of buckets that still hold several components go through a
+prefix-filtered join on shingles, rarest first, with a positional filter, which is exact and takes only pairs
+of different components. So no bucket is capped or paired in full, and no link is lost to a bucket's least member being
+unlike the rest. (That join also finds links between members that shared no bucket: more than was asked
+for, at any size.)
+
+Copies, a class's documents, a bucket and a node's neighbours may be a third of all rows: joins on these keys
+spread keys of many rows over salts (``hot_join``).
 
 Result: per document its class (the least doc_id of its component) and that class's size.
 
 Edge cases: a text of fewer than five words has one shingle of all its words; null, empty and wordless
-texts have none and each is a class of its own; repeated rows are exact copies; rows with a
+texts have none and each is a class of its own; repeated rows are exact copies; rows of one doc_id with different texts are
+one document, which joins the classes of its texts; rows with a
 null doc_id take no part and are a class of their own (null); texts are whole; an empty table gives
 no rows. Only named columns are read.
 """
@@ -36,13 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import arrow_map, materialize, mix64, shingles, small_or_shuffled
+from waymark.llm.common import arrow_map, hot_join, materialize, mix64, shingles, small_or_shuffled
 
 SIMILARITY = 0.8
 SHINGLE = 5
 BANDS, ROWS = 24, 4
 K = BANDS * ROWS
-SMALL_BUCKET = 32
 _POISSON: dict[float, np.ndarray] = {}
 
 
@@ -210,12 +214,13 @@ def components(edges: DataFrame) -> DataFrame:
     cur = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        back = cur.select(F.col("v").alias("u"), F.col("u").alias("v"))  # a node and its larger neighbours
+        degree = materialize(cur.unionByName(back).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")), "degrees")
+        large = hot_join(back, degree.select("u", "m"), "u", counts=degree.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every node's smaller neighbours, and the node, go to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+        small = hot_join(large, low.select("u", "m"), "u", counts=low.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         cur = materialize(small, "edges")
         # stable once the same edges come out twice
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
@@ -225,34 +230,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _rooted(ids: DataFrame, comps: DataFrame, id_col: str) -> DataFrame:
-    return ids.join(comps.withColumnRenamed("node", id_col), id_col, "left").withColumn("root", F.coalesce("root", id_col))
+    return ids.join(comps.select(F.col("node").alias(id_col), "root"), id_col, "left").withColumn("root", F.coalesce("root", id_col))
 
 
 def _leftover_pairs(bands: DataFrame, comps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs of different components that shared a bucket of three or more without having been compared."""
+    """Pairs of different components among the members of buckets that hold several."""
     rooted = _rooted(bands, comps, "rep")
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("rep").alias("first")).where("size > 2 and lo <> hi")
-    members = materialize(rooted.join(mixed.select("key", "size", "first"), "key"), "mixed")
-    small = members.where(F.col("size") <= SMALL_BUCKET)
-    a, b = small.alias("a"), small.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.root") != F.col("b.root")) & (F.col("a.rep") != F.col("a.first")) & _sizes_allow("a.n", "b.n"))
-        .select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-    )
-    big = members.where(F.col("size") > SMALL_BUCKET).select(F.col("rep").alias("id"), "root").distinct()
-    # Exact for the rest: sets of similarity s share one of their (1 - s) n + 1 rarest elements.
-    big = materialize(big, "big")
-    long = materialize(_shingle_rows(docs, big.select("id").distinct()), "shingles")
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("size > 2 and lo <> hi")
+    members = materialize(rooted.join(small_or_shuffled(materialize(mixed.select("key"), "mixed")), "key", "left_semi").select(F.col("rep").alias("id"), "root").distinct(), "members")
+    # Sets x and y, x not the larger, of similarity s share an element of the (1 - s) |y| + 1 rarest of y and the
+    # (1 - 2 s / (1 + s)) |x| + 1 rarest of x; what can still follow the first one that they share bounds their overlap.
+    long = materialize(_shingle_rows(docs, members.select("id")), "shingles")
     counts = long.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     ranked = long.join(counts, "e", "left").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "e")))
-    prefix = ranked.where((F.col("rn") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1) & F.col("df").isNotNull()).select("e", "id", "n").join(big, "id")
-    p, q = prefix.alias("p"), prefix.alias("q")
-    near = (
-        p.join(q, (F.col("p.e") == F.col("q.e")) & (F.col("p.id") < F.col("q.id")) & (F.col("p.root") != F.col("q.root")))
-        .where(_sizes_allow("p.n", "q.n"))
-        .select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
-    )
-    return pairs.unionByName(near).distinct()
+    probed = (F.col("rn") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1) & F.col("df").isNotNull()
+    prefix = materialize(ranked.where(probed).select("e", "id", "n", "rn").join(members, "id"), "prefixes")
+    apart = materialize(prefix.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("e"), "apart")
+    prefix = materialize(prefix.join(small_or_shuffled(apart), "e", "left_semi"), "prefixes")
+    p, q = prefix.where(F.col("rn") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-9) + 1).alias("p"), prefix.alias("q")
+    overlap = F.ceil((F.col("p.n") + F.col("q.n")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    near = p.join(q, (F.col("p.e") == F.col("q.e")) & (F.col("p.root") != F.col("q.root")) & ((F.col("p.n") < F.col("q.n")) | ((F.col("p.n") == F.col("q.n")) & (F.col("p.id") < F.col("q.id")))))
+    near = near.where(_sizes_allow("p.n", "q.n") & (1 + F.least(F.col("p.n") - F.col("p.rn"), F.col("q.n") - F.col("q.rn")) >= overlap))
+    return near.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,10 +260,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = src.where(F.col("doc_id").isNotNull())
     signed = materialize(signatures(known), "signatures")
     # A text's copies, in whatever number, shrink to one row before anything is joined.
-    reps = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = materialize(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "representatives")
     bands = materialize(reps.select("rep", "n", F.explode("bands").alias("key")), "bands")
-    heads = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    met = bands.join(heads, "key").where((F.col("rep") != F.col("head.rep")) & _sizes_allow("n", "head.n"))
+    heads = materialize(bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
+    met = hot_join(bands, heads.select("key", "head"), "key", counts=heads.select("key", F.col("size").alias("n"))).where((F.col("rep") != F.col("head.rep")) & _sizes_allow("n", "head.n"))
     pairs = materialize(met.select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = materialize(verified(pairs, _sets(known, _named(pairs))), "links")
     comps = components(links)
@@ -273,13 +272,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         extra = materialize(verified(more, _sets(known, _named(more))), "links")
         if extra.head() is not None:
             comps = components(links.unionByName(extra))
-    # copies with equal ids but different texts may link representatives through one document
-    member = signed.select("doc_id", "digest").distinct()
-    by_rep = member.join(reps.select("digest", "rep"), "digest")
-    rooted = _rooted(by_rep.select("doc_id", "rep"), comps, "rep").groupBy("doc_id").agg(F.min("root").alias("class_id"))
-    sized = src.select("doc_id").join(rooted, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    counts = sized.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return sized.join(counts, "class_id", "left").select(F.col("doc_id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+    # each text's class, then the documents' by it; documents of several texts link the classes of these
+    rooted = materialize(_rooted(reps.select("digest", "rep", "copies"), comps, "rep"), "rooted")
+    placed = materialize(hot_join(signed.select("doc_id", "digest"), rooted.select("digest", "root"), "digest", counts=rooted.select("digest", F.col("copies").alias("n"))).select("doc_id", "root"), "placed")
+    own = materialize(placed.groupBy("doc_id").agg(F.min("root").alias("class_id"), F.max("root").alias("most")), "own")
+    several = own.where("class_id <> most")
+    if not several.isEmpty():
+        edges = placed.join(several, "doc_id").where("root <> class_id").select(F.col("class_id").alias("a"), F.col("root").alias("b"))
+        own = materialize(_rooted(own.select("doc_id", "class_id"), components(edges), "class_id").select("doc_id", F.col("root").alias("class_id")), "own")
+    sized = materialize(src.select("doc_id").join(own.select("doc_id", "class_id"), "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id")), "classes")
+    counts = materialize(sized.groupBy("class_id").agg(F.count("*").alias("class_size")), "sizes")
+    found = hot_join(sized, counts, "class_id", "left", counts=counts.select("class_id", F.col("class_size").alias("n")))
+    return found.select(F.col("doc_id").alias(id_col), "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
