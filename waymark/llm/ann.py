@@ -2,7 +2,9 @@
 
 Index. Unit vectors are turned by one random rotation. K-means over a bounded sample (at most
 ``SAMPLE_ROWS`` rows, smallest hashes of vec_id) gives list centres; every row is indexed. Lists longer than
-``BLOCK_ROWS`` are split by hash into blocks, so a hot list is many groups.
+``BLOCK_ROWS`` are split into blocks by row, so a hot list, or a vec_id on very many rows, is many groups. The
+queries of a list are split into chunks of ``QUERY_ROWS`` likewise: a block is sent once per chunk of its own list's
+queries, so what is shuffled stays a fixed small share of what is compared.
 
 Search. A query probes the lists nearest to it: as many as it takes for trial queries of the
 sample to find ``TARGET`` of their true neighbours within the sample, so clustered vectors need
@@ -29,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,8 +44,8 @@ MAX_LISTS = 1_024
 TRIAL_QUERIES = 256
 TARGET = 0.97
 MIN_PROBED = 2_000
-BLOCK_ROWS = 8_192
-QUERY_ROWS = 2_048
+BLOCK_ROWS = 16_384
+QUERY_ROWS = 16_384
 COLUMNS = 16
 EPSILON = 2.1
 K = 5
@@ -63,15 +66,17 @@ def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids, out = [], []
-            for i, v in zip(b.column("id").to_pylist(), b.column("vec").to_pylist()):
-                if i is None or not v or any(x is None for x in v):
-                    continue
-                a = np.array(v, np.float64)
-                if np.isfinite(a).all() and a.any():
-                    ids.append(i)
-                    out.append(a.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
+            ids, vec = b.column("id"), b.column("vec")
+            flat = vec.flatten()
+            value = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+            n = pc.fill_null(pc.list_value_length(vec), 0).to_numpy().astype(np.int64)
+            ends = np.cumsum(n)
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])])
+            ok = ids.is_valid().to_numpy(zero_copy_only=False) & (total(~np.isfinite(value)) == 0) & (total(value != 0) > 0)
+            data = np.ascontiguousarray(value[np.repeat(ok, n)])
+            offsets = np.concatenate([[0], np.cumsum(n[ok] * 8)]).astype(np.int32)
+            out = pa.Array.from_buffers(pa.binary(), int(ok.sum()), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), out], ["vec_id", "v"])
 
     return arrow_map(table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")), run, "vec_id bigint, v binary")
 
@@ -226,12 +231,14 @@ def nearest(table: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_
             yield pa.RecordBatch.from_arrays([pa.array(qid, pa.int64()), pa.array(vid, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
     queries = vectors.where(is_query).select("vec_id", "v")
-    n_chunks = 1 + queries.count() // QUERY_ROWS
-    routed = arrow_map(queries, route, "query_id bigint, q binary, list int, limit double")
-    of_list = F.array(*[F.lit(n) for n in blocks])
-    per_list = F.element_at(of_list, F.col("list") + 1)
-    left = routed.withColumns({"chunk": F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int"), "block": F.explode(F.sequence(F.lit(0), per_list - 1))})
-    right = listed.withColumns({"block": F.pmod(F.xxhash64("vec_id"), per_list).cast("int"), "chunk": F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))})
+    routed = materialize(arrow_map(queries, route, "query_id bigint, q binary, list int, limit double"), "routed")
+    chunks = [1] * len(sizes)
+    for r in routed.groupBy("list").count().collect():  # at most MAX_LISTS rows
+        chunks[r["list"]] = -(-r["count"] // QUERY_ROWS)
+    of_list = lambda counts: F.element_at(F.array(*[F.lit(n) for n in counts]), F.col("list") + 1)
+    spread = lambda counts: F.pmod(F.xxhash64(F.monotonically_increasing_id()), of_list(counts)).cast("int")  # noqa: E731 - rows of stored tables
+    left = routed.withColumn("chunk", spread(chunks)).withColumn("block", F.explode(F.sequence(F.lit(0), of_list(blocks) - 1)))
+    right = listed.withColumn("block", spread(blocks)).withColumn("chunk", F.explode(F.sequence(F.lit(0), of_list(chunks) - 1)))
 
     def search(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
