@@ -7,14 +7,15 @@ time: it has one key per host suffix and per path prefix, equi-joined with the i
 from <= fetched < until. The most specific active pattern decides: longer path prefixes before whole
 hosts, hosts before their parent domains; of one pattern's verdicts ``allow`` goes before ``block``.
 
-A hot host doesn't make a hot task: captures are spread over ``salts`` values and every
-interval is repeated for each, the list being far smaller than the captures.
+A list of up to ``BROADCAST_ROWS`` intervals, counted, is broadcast: then only one row for each capture is shuffled. A
+longer one is joined by shuffle, after captures' keys that aren't on it are gone, and keys with many captures are
+spread over salts by their counts (``hot_join``).
 
 pattern_kind ``domain``: the host and all below it; ``host``: exactly that host; ``prefix``: host and path
 up to a segment's end.
 
-Edge cases: scheme, user, port, query and fragment don't count, and hosts fold to lower case; a null URL or
-one without a host, and a null fetch time, give verdict ``none``; entries with a null in any column
+Edge cases: scheme (it may be missing: ``//host/path``), user, port, query, fragment and dots at a host's end don't
+count, and hosts fold to lower case; a null URL or one without a host, and a null fetch time, give verdict ``none``; entries with a null in any column
 are ignored; repeated entries count once, and of entries of one pattern at one instant
 the ``add`` holds, ``allow`` first; repeated captures each get a row; an empty list gives ``none`` for all, an
 empty table no rows. Only named columns are read.
@@ -26,18 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SALTS = 16
+from waymark.llm.common import BROADCAST_ROWS, hot_join, materialize
+
+_BEFORE_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
 
 
 def host_of(url):
     """Lower-case host of a URL column; null without one."""
-    authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
+    authority = F.regexp_extract(url, _BEFORE_HOST + r"([^/?#]*)", 1)
+    host = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", ""))
     return F.when(host != "", host)
 
 
 def path_of(url):
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(url, _BEFORE_HOST + r"[^/?#]*([^?#]*)", 1)
 
 
 def keys_of(host, path):
@@ -70,15 +73,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     return held.withColumn("until", F.lead("since").over(w)).where(F.col("state").isNotNull()).select("key", F.when(F.col("state") == 0, "allow").otherwise("block").alias("verdict"), "since", "until")
 
 
-def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched", salts: int = SALTS) -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """One row per capture: id, fetched, host, verdict (block, allow or none), matched (the deciding pattern),
     listed_since."""
     base = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp").alias("fetched"))
     named = base.withColumn("host", host_of(F.col("url")))
     ask = named.where(F.col("host").isNotNull() & F.col("fetched").isNotNull())
-    asked = ask.select("id", "url", "fetched", "host", F.inline(keys_of(F.col("host"), path_of(F.col("url"))))).withColumn("salt", F.pmod(F.xxhash64("id", "url", "fetched"), F.lit(salts)))
-    valid = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    active = asked.join(valid, ["key", "salt"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
+    asked = ask.select("id", "url", "fetched", "host", F.inline(keys_of(F.col("host"), path_of(F.col("url")))))
+    valid = materialize(intervals(entries), "intervals")
+    if valid.count() <= BROADCAST_ROWS:
+        met = asked.join(F.broadcast(valid), "key")
+    else:
+        met = hot_join(materialize(asked.join(valid.select("key").distinct(), "key", "left_semi"), "asked"), valid, "key")
+    active = met.where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     hits = active.select("id", "url", "fetched", "host", F.struct("rank", "key", "verdict", "since").alias("hit"), F.lit(0).alias("own"))
     own = named.select("id", "url", "fetched", "host", F.lit(None).cast(hits.schema["hit"].dataType).alias("hit"), F.lit(1).alias("own"))
     decided = hits.unionByName(own).groupBy("id", "url", "fetched", "host").agg(F.max("hit").alias("hit"), F.sum("own").cast("int").alias("copies"))
@@ -120,8 +127,8 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 with p as (
   select page_id, url, timestamp '2024-01-01 00:00:00' + to_days(cast(((page_id * 37 % 365) + 365) % 365 as int)) as fetched,
-         nullif(lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', '')), '') as host,
-         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts
+         nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')), '') as host,
+         list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') as parts
   from pages),
 h as (select distinct host, string_split(host, '.') as labels, cast('0x' || substr(md5(host), 1, 6) as bigint) as n from p where host is not null),
 e as (
