@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import ann, url_filter, warc
+from waymark.llm import ann, common, url_filter, warc
 from waymark.llm.common import scratch_path
 
 FOLDER = "/root/testdata/sf0.01"
@@ -33,6 +33,21 @@ def test_recall(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("rows", [5])
+def test_blocks_and_chunks_change_nothing(spark, monkeypatch, rows):
+    """Lists cut into small blocks and chunks give what whole lists give, a vec_id on many rows included."""
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((400, 8))
+    table = [(i if i % 7 else 3, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>").repartition(3)
+    asked = F.col("vec_id") % 5 == 0
+    key = lambda r: (r.query_id, r["rank"], r.vec_id, round(r.score, 12))
+    whole = sorted(map(key, ann.nearest(df, asked).collect()))
+    monkeypatch.setattr(ann, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ann, "QUERY_ROWS", rows)
+    assert sorted(map(key, ann.nearest(df, asked).collect())) == whole
+
+
 def test_neighbours_odd_inputs(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [1.0]), (None, [1.0, 1.0]), (50, None)]
@@ -58,7 +73,11 @@ def test_scan_keeps_the_best():
     assert hit / 200 > 0.98
 
 
-def test_temporal_lists(spark):
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_temporal_lists(spark, monkeypatch, shuffled):
+    if shuffled:  # as if the list were long and every key hot
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
     entries = spark.createDataFrame(
         [
             ("host", "a.b.com", "block", "add", "2024-01-10"), ("host", "a.b.com", "block", "remove", "2024-02-01"), ("host", "a.b.com", "block", "add", "2024-03-01"),
@@ -70,6 +89,7 @@ def test_temporal_lists(spark):
         (1, "http://A.b.com:80/x?q", "2024-01-09 23:59:59", "none"), (2, "http://u@a.b.com/x", "2024-01-10", "block"), (3, "http://a.b.com", "2024-02-01", "none"), (4, "http://a.b.com", "2024-02-15", "block"),
         (5, "http://x.b.com/ok/1", "2024-02-16", "block"), (6, "http://x.b.com/ok/1", "2024-02-21", "allow"), (7, "http://x.b.com/okay", "2024-02-21", "block"), (8, None, "2024-02-21", "none"), (9, "no url", "2024-02-21", "none"),
         (10, "http://a.b.com", None, "none"), (None, "http://a.b.com", "2024-03-02", "block"), (11, "http://ab.com", "2024-03-02", "none"), (12, "http://a.b.com", "2024-03-02", "block"), (12, "http://a.b.com", "2024-03-02", "block"),
+        (13, "//a.b.com/x", "2024-03-02", "block"), (14, "http://a.b.com./x", "2024-03-02", "block"), (15, "http://./x", "2024-03-02", "none"),
     ]
     df = spark.createDataFrame([(a, b, c, 1) for a, b, c, _ in cases], "page_id bigint, url string, fetched string, verdict int")
     got = url_filter.judge(df, entries).collect()
@@ -129,6 +149,51 @@ def test_salvage(packed):
     assert sum(r["kind"] == "record" for r in out) == 8 and [r["length"] for r in out if r["kind"] == "gap"] == [4, 7]
 
 
+def test_members_of_several_records():
+    records = [warc.build_record(f"urn:page:{i}", "http://x", (b"line %d WARC/1.0 no version line\r\n" % i) * 300) for i in range(6)]
+    assert [r["record_id"] for r in warc.salvage(io.BytesIO(gz(b"".join(records))), len(gz(b"".join(records))))] == [f"urn:page:{i}" for i in range(6)]
+    # a wrong digest within a sound member: only that record is lost
+    hurt = bytearray(b"".join(records))
+    place = len(records[0]) + len(records[1]) + len(records[2]) // 2
+    hurt[place] ^= 1
+    member = gz(bytes(hurt))
+    tail = gz(warc.build_record("urn:page:9", "http://x", b"last"))
+    out = list(warc.salvage(io.BytesIO(member + tail), len(member + tail)))
+    assert [r["record_id"] for r in out if r["kind"] == "record"] == [f"urn:page:{i}" for i in (0, 1, 3, 4, 5, 9)]
+    gap = next(r for r in out if r["kind"] == "gap")
+    assert (gap["inner_offset"], gap["inner_length"]) == (len(records[0]) + len(records[1]), len(records[2])) and (gap["offset"], gap["length"]) == (0, len(member))
+    # a member that is cut off, or damaged near its end: the records before are borne out by their digests
+    whole = gz(b"".join(records))
+    for bad in (whole[: len(whole) * 4 // 5], whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]):
+        out = list(warc.salvage(io.BytesIO(bad + tail), len(bad + tail)))
+        ids = [r["record_id"] for r in out if r["kind"] == "record"]
+        assert ids[:3] == [f"urn:page:{i}" for i in range(3)] and ids[-1] == "urn:page:9"
+        assert [(r["offset"], r["length"]) for r in out if r["kind"] == "gap"] == [(0, len(bad))]
+
+
+def test_hostile_members_are_not_held():
+    """Members that inflate to far more than they weigh: no record, and none of it kept."""
+    import tracemalloc
+
+    zeros = gz(b"\0" * (64 << 20))
+    claims = gz(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999999999\r\n\r\n" + b"\0" * (64 << 20))
+    data = zeros + claims + gz(warc.build_record("urn:page:1", "u", b"x"))
+    tracemalloc.start()
+    out = list(warc.salvage(io.BytesIO(data), len(data)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["kind"] for r in out] == ["gap", "record"] and peak < 20 << 20
+
+
+def test_hot_payloads_are_spread(spark, monkeypatch):
+    pages = [(i, "u", "same" if i % 3 else f"page {i % 5}") for i in range(60)] + [(None, "u", "same")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    few = sorted(map(str, warc.with_duplicates(df).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    assert sorted(map(str, warc.with_duplicates(df).collect())) == few
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -13,6 +13,7 @@ from waymark.llm.secrets import op7_secrets
 from waymark.llm.toxicity import op1_toxicity
 from waymark.llm.url_filter import SQL as URL_FILTER_SQL
 from waymark.llm.url_filter import op8_url_filter
+from waymark.llm.warc import SQL as WARC_SQL
 from waymark.llm.warc import op10_warc
 
 QUERIES = {
@@ -31,4 +32,5 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op7_secrets": SECRETS_SQL,
     "op8_url_filter": URL_FILTER_SQL,
+    "op10_warc": WARC_SQL,
 }

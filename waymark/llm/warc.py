@@ -10,6 +10,12 @@ Salvage reader. Every record is checked: the gzip member's length and CRC, the v
 header, Content-Length, and the payload digest. After a failed check the reader searches from the
 next byte for the next gzip member, or in plain archives version line, that passes all checks; the
 bytes in between become one quarantined gap with offset, length and reason, and reading goes on.
+Members are inflated as a stream: first through to their end, for their own checks, then record by record, so that
+what is held is a record and not a member. Within a member that holds several records the reader goes on at the next version line
+after a failed check; such a gap has the member's offset and length, and its own place among the inflated bytes
+(inner_offset, inner_length). Of a damaged member, records whose payload digest is stated and right are
+recovered (offset of the member, length null), and the member's bytes are a gap all the same. A record of more
+than ``MAX_RECORD`` bytes, which no row could hold, is a gap.
 
 Edge cases: a null payload is empty, and empty payloads count as equal (``min_bytes`` 0); a null page_id is
 written as such and is smaller than any number; rows tied on the largest page_id of a payload are all
@@ -21,7 +27,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
+import itertools
 import re
 import uuid
 import zlib
@@ -33,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import arrow_map, materialize, scratch_path
+from waymark.llm.common import arrow_map, hot_join, materialize, scratch_path
 
 ROLL_BYTES = 32 << 20
 BROADCAST_ROWS = 50_000
 CHUNK = 1 << 16
 WINDOW = 1 << 20
+MAX_RECORD = (1 << 31) - (1 << 20)
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
@@ -50,6 +57,8 @@ RECORD = T.StructType(
         T.StructField("length", T.LongType()),
         T.StructField("kind", T.StringType()),  # record or gap
         T.StructField("reason", T.StringType()),  # of a gap
+        T.StructField("inner_offset", T.LongType()),  # of a gap within a member, among its inflated bytes
+        T.StructField("inner_length", T.LongType()),
         T.StructField("record_type", T.StringType()),
         T.StructField("record_id", T.StringType()),
         T.StructField("target_uri", T.StringType()),
@@ -95,29 +104,14 @@ class Damaged(Exception):
     """A failed check; the message is the reason logged with the gap."""
 
 
-def parse_record(data: bytes, at: int = 0, whole: bool = True) -> tuple[dict, int]:
-    """The record that starts at ``at`` and the position after it. ``whole``: data ends with the
-    stream, so anything missing is damage."""
-    if not data.startswith(VERSION, at):
-        raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0:
-        raise Damaged("header without end")
-    head: dict[str, str] = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise Damaged("bad header line")
-        head[name.strip().lower()] = value.strip()
-    try:
-        size = int(head["content-length"])
-    except (KeyError, ValueError):
-        raise Damaged("no content length") from None
-    start = end + 4
+def parse_record(data: bytes, at: int = 0) -> tuple[dict, int, bool]:
+    """The record that starts at ``at`` (anything missing at the end of data is damage), the position after it,
+    and whether its payload has a digest, which is right."""
+    start, size, head = _header(data, at)
     stop = start + size
-    if size < 0 or len(data) < stop + 4 or data[stop : stop + 4] != b"\r\n\r\n":
+    if len(data) < stop + 4 or data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("length doesn't match")
-    block = data[start:stop]
+    block = bytes(data[start:stop])
     payload, stated = block, None
     if head.get("content-type", "").startswith("application/http"):
         cut = block.find(b"\r\n\r\n")
@@ -128,9 +122,9 @@ def parse_record(data: bytes, at: int = 0, whole: bool = True) -> tuple[dict, in
         stated = int(found[1]) if found else None
     digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
     kind = head.get("warc-type")
-    if kind != "revisit" and digest and digest != base32_sha1(payload):
-        raise Damaged("digest doesn't match")
     revisit = kind == "revisit"
+    if not revisit and digest and digest != base32_sha1(payload):
+        raise Damaged("digest doesn't match")
     record = {
         "record_type": kind,
         "record_id": head.get("warc-record-id", "").strip("<>") or None,
@@ -140,7 +134,31 @@ def parse_record(data: bytes, at: int = 0, whole: bool = True) -> tuple[dict, in
         "payload_digest": digest or base32_sha1(payload),
         "payload": None if revisit else payload,
     }
-    return record, stop + 4
+    return record, stop + 4, bool(digest) and not revisit
+
+
+def _header(data: bytes, at: int) -> tuple[int, int, dict[str, str]]:
+    """Start of the block, its stated length, and the header of the record at ``at``."""
+    if not data.startswith(VERSION, at):
+        raise Damaged("no version line")
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0:
+        raise Damaged("header without end")
+    head: dict[str, str] = {}
+    for line in bytes(data[at:end]).decode("utf-8", "replace").split("\r\n")[1:]:
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise Damaged("bad header line")
+        head[name.strip().lower()] = value.strip()
+    try:
+        size = int(head["content-length"])
+    except (KeyError, ValueError):
+        raise Damaged("no content length") from None
+    if size < 0:
+        raise Damaged("length doesn't match")
+    if size > MAX_RECORD:
+        raise Damaged("record too long")
+    return end + 4, size, head
 
 
 class _Source:
@@ -168,40 +186,106 @@ class _Source:
         return -1
 
 
-def _member(src: _Source, at: int) -> tuple[list[dict], int]:
-    """All records of the gzip member at ``at`` and the position after the member."""
-    inflate = zlib.decompressobj(31)
-    out, pos = io.BytesIO(), at
+def _inflated(src: _Source, at: int, step: int = CHUNK) -> Iterator[tuple[bytes, int]]:
+    """Inflated bytes of the gzip member at ``at``, a little at a time, each with the position after the member or,
+    before its end, -1. What a step of input inflates to before an error in it is lost."""
+    inflate, pos, rest = zlib.decompressobj(31), at, b""
     while not inflate.eof:
-        data = src.read(pos, min(CHUNK, src.size - pos))
-        if not data:
-            raise Damaged("member cut off")
+        if not rest:
+            rest = src.read(pos, min(step, src.size - pos))
+            pos += len(rest)
+            if not rest:
+                raise Damaged("member cut off")
         try:
-            out.write(inflate.decompress(data))
+            out = inflate.decompress(rest, WINDOW)
         except zlib.error as e:
             raise Damaged("gzip: " + re.sub(r".*?: ", "", str(e))) from None
-        pos += len(data)
-    data, done, records = out.getvalue(), 0, []
-    if not data:
-        raise Damaged("empty member")
-    while done < len(data):
-        record, done = parse_record(data, done)
-        records.append(record)
-    return records, pos - len(inflate.unused_data)
+        rest = inflate.unconsumed_tail
+        yield out, pos - len(inflate.unused_data) if inflate.eof else -1
 
 
-def _plain(src: _Source, at: int) -> tuple[list[dict], int]:
+def _member_end(src: _Source, at: int) -> int:
+    """Position after the member at ``at``, which is sound and isn't empty."""
+    some, end = False, -1
+    for out, end in _inflated(src, at):
+        some = some or bool(out)
+    if not some:
+        raise Damaged("empty member")
+    return end
+
+
+def _in_member(src: _Source, at: int, sound: bool) -> Iterator[dict]:
+    """Records and inner gaps of the member at ``at``. Of one that isn't ``sound``: the records that their digests bear out."""
+    stream = _inflated(src, at, CHUNK if sound else 16)
+    held, base, over = bytearray(), 0, False  # inflated bytes from position ``base``
+
+    def more(n: int) -> bool:
+        """Whether ``held`` now has n bytes."""
+        nonlocal over
+        while len(held) < n and not over:
+            try:
+                held.extend(next(stream)[0])
+            except StopIteration:
+                over = True
+            except Damaged:
+                if sound:
+                    raise
+                over = True
+        return len(held) >= n
+
+    bad = why = None
+    while more(1):
+        try:
+            if not more(len(VERSION)) or not held.startswith(VERSION):
+                raise Damaged("no version line")
+            need = 4096
+            while held.find(b"\r\n\r\n") < 0 and need <= WINDOW and more(need):
+                need *= 2
+            start, size, _ = _header(held, 0)
+            more(start + size + 4)
+            record, n, proven = parse_record(held)
+        except Damaged as e:
+            if bad is None:
+                bad, why = base, str(e)
+            # on to the next version line at the start of a line
+            n = 1
+            while (found := held.find(b"\n" + VERSION, n - 1)) < 0:
+                n = max(n, len(held) - len(VERSION))
+                if not more(len(held) + 1):
+                    n = len(held)
+                    break
+                if n > WINDOW:
+                    del held[:n]
+                    base, n = base + n, 1
+            else:
+                n = found + 1
+            del held[:n]
+            base += n
+            continue
+        if bad is not None and sound:
+            yield {"kind": "gap", "reason": why, "inner_offset": bad, "inner_length": base - bad}
+        bad = None
+        if sound or proven:
+            yield record | {"kind": "record"}
+        del held[:n]
+        base += n
+    if bad is not None and sound:
+        yield {"kind": "gap", "reason": why, "inner_offset": bad, "inner_length": base - bad}
+
+
+def _plain(src: _Source, at: int) -> tuple[dict, int]:
+    """The plain record at ``at`` and the position after it."""
     size = CHUNK
     while True:
         data = src.read(at, min(size, src.size - at))
         try:
-            record, end = parse_record(data)
-            return [record], at + end
+            record, end, _ = parse_record(data)
+            return record, at + end
         except Damaged:
             end = data.find(b"\r\n\r\n")
             found = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", data[: max(end, 0)])
             need = end + 8 + int(found[1]) if found else 0
-            if not data.startswith(VERSION) or at + len(data) >= src.size or (found and need <= len(data)) or (end < 0 and size > WINDOW):
+            if not data.startswith(VERSION) or at + len(data) >= src.size or (found and need <= len(data)) or (end < 0 and size > WINDOW) or need > MAX_RECORD:
                 raise
             size = max(2 * size, need)
 
@@ -215,14 +299,23 @@ def salvage(file, size: int) -> Iterator[dict]:
         head = src.read(at, min(8, size - at))
         try:
             if head.startswith(GZIP):
-                records, end = _member(src, at)
+                record, end = None, _member_end(src, at)
             elif head.startswith(VERSION):
-                records, end = _plain(src, at)
+                record, end = _plain(src, at)
             else:
                 raise Damaged("no member or version line")
+            if record is None:
+                inner = _in_member(src, at, True)
+                first = next(inner, None)
+                rest = next(inner, None) if first is not None else None
+                if first is None or first["kind"] == "gap" and rest is None:  # nothing in it is a record
+                    raise Damaged(first["reason"] if first else "empty member")
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
+            if head.startswith(GZIP):
+                for r in _in_member(src, at, False):
+                    yield r | {"offset": at, "length": None}
             for magic, found in ahead.items():
                 if 0 <= found <= at:
                     ahead[magic] = src.find(magic, at + 1)
@@ -231,8 +324,8 @@ def salvage(file, size: int) -> Iterator[dict]:
         if bad is not None:
             yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": why}
             bad = None
-        for r in records:
-            yield r | {"kind": "record", "offset": at, "length": end - at}
+        for r in ([record | {"kind": "record"}] if record else itertools.chain([first], [rest] if rest else [], inner)):
+            yield r | {"offset": at, "length": end - at}
         at = end
     if bad is not None:
         yield {"kind": "gap", "offset": bad, "length": size - bad, "reason": why}
@@ -243,11 +336,16 @@ def with_duplicates(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     it refers to, else null with ``revisit`` false."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     body = src.withColumns({"sha": F.sha1(F.encode("html", "utf-8")), "n": F.octet_length("html").cast("long")})
-    groups = body.where(F.col("n") >= min_bytes).groupBy("sha", "n").agg(F.max("page_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    groups = body.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1")
     groups = materialize(groups, "payloads")
     # Few payloads have copies in most crawls. A hot payload is one row here, however many its pages.
-    few = len(groups.take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
-    joined = body.join(F.broadcast(groups) if few else groups, ["sha", "n"], "left")
+    if groups.count() <= BROADCAST_ROWS:
+        joined = body.join(F.broadcast(groups.select("sha", "keep")), "sha", "left")
+    else:
+        # only keys and ids are shuffled for the match, a hot payload's over salts; then each page meets its own row
+        named = materialize(body.select("sha", "page_id"), "digests")
+        keeps = materialize(hot_join(named, groups.select("sha", "keep"), "sha", counts=groups.select("sha", F.col("copies").alias("n"))).select("page_id", "sha", "keep").distinct(), "keeps")
+        joined = body.join(keeps, (body.sha == keeps.sha) & body.page_id.eqNullSafe(keeps.page_id), "left").select(body["*"], "keep")
     later = F.col("keep").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("keep")))
     return joined.select("page_id", "url", "html", "n", F.coalesce(later, F.lit(False)).alias("revisit"), F.when(later, F.col("keep")).alias("keep"))
 
@@ -288,7 +386,7 @@ def write_archives(marked: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES)
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True, tasks: int | None = None) -> DataFrame:
     """Every record and gap of the archives named in ``manifest``: see ``RECORD``."""
     names = [f.name for f in RECORD.fields]
-    types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 2, *[pa.int64()] * 2, *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
 
     def run(batches):
         fs, _ = pafs.FileSystem.from_uri(folder)
@@ -324,3 +422,15 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
         page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         page_number("refers_to").alias("refers_to"),
     )
+
+
+#: Base 32 of a hex SHA-1: four characters for each five hex digits.
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((cast('0x' || substr(h, 5 * cast(i // 4 as int) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31) + 1]), '')"
+SQL = f"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as n, sha1(html) as h from p),
+k as (select *, max(page_id) over (partition by h) as keep from d)
+select page_id, n as payload_bytes, {_BASE32} as payload_digest, case when keep is not null and (page_id is null or page_id < keep) then 'revisit' else 'response' end as record_type,
+       case when page_id is null or page_id < keep then keep end as refers_to
+from k
+"""
