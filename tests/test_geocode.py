@@ -41,7 +41,7 @@ def test_forward_reverse_and_id(spark, index):
     assert first[4][1] == "street.1"
     assert first[5][1] == "street.1" and first[5][2] < 1
     assert first[6] == ("id", "place.9", 1.0)
-    assert first[7][:2] == ("reverse", "street.1")
+    assert first[7][:2] == ("reverse", "street.1")  # of equally close ones the lowest id
     assert not {8, 9, 10} & set(first)
     back = sorted((r["rank"], r.id) for r in rows if r.query_id == 7)
     assert back == [(1, "street.1"), (2, "place.1"), (3, "region.1"), (4, "country.1")] or len(back) == 4

@@ -3,11 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.config import Source, catalog
 from waymark.functions import template
-from waymark.operators import index as ix
 from waymark.operators import output
-from waymark.plans import addresses
 
 L = F.lit
 
@@ -47,24 +44,3 @@ def test_overrides(spark):
     over = F.create_map(L("place"), L("Lyon"))
     row = spark.range(1).select(output.with_overrides(F.array(pair("place", "Paris"), pair("region", "R")), over, None), output.override_boost(L(0.98), over, F.array(pair("place", "lyon"))), output.override_boost(L(0.5), over, F.array(pair("place", "x")))).head()
     assert [x.text for x in row[0]] == ["Lyon", "R"] and row[1] == 1.0 and row[2] == 0.5
-
-
-def test_languages_are_filled(spark):
-    p = spark.createDataFrame([("s", 1, "a", "sr"), ("s", 2, "b", "hr")], "source string, id bigint, phrase string, lang string")
-    got = {tuple(r) for r in output.filled_languages(p, {"hr": ["bs", "sr"]}).collect()}
-    assert got == {("s", 1, "a", "sr"), ("s", 1, "a", "hr"), ("s", 2, "b", "hr")}
-
-
-def test_addresses(spark):
-    feats = spark.createDataFrame([("street", 1, "main st", 1.0, 1.0, 1.0), ("street", 2, "9th ave", 1.0, 1.0, 1.0)], "source string, id bigint, text string, lon double, lat double, score double")
-    index = ix.build(feats, catalog(spark, [Source("street", is_address=True)]))
-    streets = spark.createDataFrame(
-        [("street", 1, [("100", 1.0, 1.5, None), ("9b", 1.0, 1.6, None)], [(0, 200, 300, 201, 301, "E", "O", [(1.0, 1.0), (1.0, 2.0)])]), ("street", 2, None, None)],
-        "source string, id bigint, points array<struct<num:string,lon:double,lat:double,style:string>>, ranges array<struct<i:int,lf:int,lt:int,rf:int,rt:int,lp:string,rp:string,line:array<struct<lon:double,lat:double>>>>",
-    )
-    q = spark.createDataFrame([(1, "100 main st"), (2, "main st 250"), (3, "9b main st"), (4, "main st"), (5, "5 9th ave")], "query_id bigint, query string")
-    rows = {r.query_id: r for r in addresses.forward_address(q, streets, index).where("rank = 1").collect()}
-    assert (rows[1].place_name, rows[1].lat, rows[1].interpolated) == ("100 main st", 1.5, False)
-    assert (rows[2].lat, rows[2].interpolated, rows[2].omitted) == (1.5, True, False)
-    assert rows[3].lat == 1.6
-    assert 4 not in rows and 5 not in rows

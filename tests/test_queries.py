@@ -1,7 +1,7 @@
 import pytest
 
 from tests.oracle import check
-from waymark.plans import queries
+from waymark.plans import more_queries, queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -5,7 +5,7 @@ import pytest
 from waymark.config import InvalidOption, Options, Source, catalog
 from waymark.operators import index as ix
 from waymark.operators import match
-from waymark.plans import addresses, geocode
+from waymark.plans import geocode
 
 DOC = "source string, id bigint, text string, lon double, lat double, score double"
 
@@ -29,14 +29,20 @@ def test_options_hold_before_the_best_targets_are_taken(spark, namesakes, option
     assert geocode.forward(q, namesakes, options).where("rank = 1").head().id == first
 
 
-def test_the_number_is_looked_up_before_streets_are_cut(spark, namesakes):
-    streets = spark.createDataFrame(
-        [("street", 1, [("7", 1.0, 10.0, None)], None), ("street", 70, [("100", 70.0, 10.5, None)], None)],
-        "source string, id bigint, points array<struct<num:string,lon:double,lat:double,style:string>>, ranges array<struct<i:int,lf:int,lt:int,rf:int,rt:int,lp:string,rp:string,line:array<struct<lon:double,lat:double>>>>",
-    )
-    q = spark.createDataFrame([(1, "100 main st"), (2, "7 main st"), (3, "8 main st")], "query_id bigint, query string")
-    rows = addresses.forward_address(q, streets, namesakes, Options(limit=1)).collect()
-    assert {(r.query_id, r.id, r.place_name, r.lat) for r in rows} == {(1, "street.70", "100 main st", 10.5), (2, "street.1", "7 main st", 10.0)}
+POINTS = "array<struct<num:string,lon:double,lat:double,style:string>>"
+RANGES = "array<struct<i:int,lf:int,lt:int,rf:int,rt:int,lp:string,rp:string,line:array<struct<lon:double,lat:double>>>>"
+
+
+def test_the_number_is_looked_up_before_streets_are_cut(spark):
+    """Seventy streets of one name; those that have the numbers asked for score least."""
+    own = {1: [("7", 1.0, 10.0, None)], 70: [("100", 70.0, 10.5, None)]}
+    docs = [("street", i, "main st", float(i), 10.0, 1.0 if i in own else 1000.0, own.get(i)) for i in range(1, 71)]
+    index = ix.build(spark.createDataFrame(docs, f"{DOC}, points {POINTS}"), catalog(spark, [Source("street", maxscore=1000.0, is_address=True)]))
+    q = spark.createDataFrame([(1, "100 main st"), (2, "main st 7"), (3, "8 main st")], "query_id bigint, query string")
+    rows = {r.query_id: r for r in geocode.forward(q, index, Options(limit=1)).collect()}
+    assert (rows[1].id, rows[1].place_name, rows[1].lat, rows[1].address) == ("street.70", "100 main st", 10.5, "100")
+    assert (rows[2].id, rows[2].place_name) == ("street.1", "7 main st")
+    assert rows[3].address is None and rows[3].relevance < rows[1].relevance  # no street has it: a street by itself
 
 
 def test_stacks_have_as_many_layers_as_the_query_names(spark):
@@ -65,14 +71,10 @@ def test_polygons_are_found_in_every_tile_they_cover(spark):
     assert {r.place_name for r in rows if r.id == "place.2"} <= {"paris"}
 
 
-def test_options_without_effect_are_refused(spark, namesakes):
-    q = spark.createDataFrame([(1, "main st", 1.0, 10.0)], "query_id bigint, query string, lon double, lat double")
-    for o in (Options(worldview="us"), Options(language_mode="strict"), Options(language=["en", "de"]), Options(types=["street.big"])):
-        for plan in (geocode.forward, geocode.reverse):
-            with pytest.raises(InvalidOption):
-                plan(q, namesakes, o)
-    for o in (Options(limit=1, bbox=(0.0, 0.0, 1.0, 1.0)), Options(limit=1, proximity=(0.0, 0.0)), Options(limit=1, language=["en"])):
+def test_points_refuse_what_has_no_effect(spark, namesakes):
+    q = spark.createDataFrame([(1, 1.0, 10.0)], "query_id bigint, lon double, lat double")
+    for o in (Options(worldview="us"), Options(types=["street.big"]), Options(bbox=(0.0, 0.0, 1.0, 1.0)), Options(proximity=(0.0, 0.0))):
         with pytest.raises(InvalidOption):
             geocode.reverse(q, namesakes, o)
-    assert {r.id for r in geocode.reverse(q, namesakes, Options(limit=1, stacks=["us"])).collect()} == set()
-    assert {r.id for r in geocode.reverse(q, namesakes, Options(limit=1, stacks=["ca"])).collect()} == {"street.1"}
+    assert {r.id for r in geocode.reverse(q, namesakes, Options(stacks=["us"])).collect()} == set()
+    assert {r.id for r in geocode.reverse(q, namesakes, Options(stacks=["ca"])).collect()} == {"street.1"}

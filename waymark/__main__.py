@@ -1,7 +1,7 @@
 """Command line: ``python -m waymark index|query|analyze``, to be run by itself or through spark-submit.
 
 index    --source NAME=FILE[:ZOOM] ... --out DIR     GeoJSON feature files, coarse layers first
-query    --index DIR [--types a,b] [--proximity LON,LAT] [--limit N] TEXT ...
+query    --index DIR [--types a,b] [--stacks a,b] [--bbox W,S,E,N] [--proximity LON,LAT] [--language a,b] [--worldview V] [--limit N] [--geojson] TEXT ...
 analyze  --index DIR
 """
 
@@ -27,7 +27,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     ask.add_argument("--index", required=True)
     ask.add_argument("--types")
     ask.add_argument("--proximity")
-    ask.add_argument("--limit", type=int, default=5)
+    ask.add_argument("--limit", type=int)
+    for name in ("stacks", "bbox", "language", "worldview"):
+        ask.add_argument(f"--{name}")
+    ask.add_argument("--geojson", action="store_true")
     ask.add_argument("text", nargs="+")
     stats = sub.add_parser("analyze")
     stats.add_argument("--index", required=True)
@@ -47,9 +50,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "analyze":
         ix.statistics(index.grid).orderBy("kind", "value").show(50, False)
         return
-    o = Options(types=a.types.split(",") if a.types else None, limit=a.limit, proximity=tuple(map(float, a.proximity.split(","))) if a.proximity else None)
+    split = lambda v, kind=str: None if v is None else tuple(map(kind, v.split(","))) if kind is float else v.split(",")
+    o = Options(types=split(a.types), stacks=split(a.stacks), limit=a.limit, proximity=split(a.proximity, float), bbox=split(a.bbox, float), language=split(a.language), worldview=a.worldview)
     asked = spark.createDataFrame(list(enumerate(a.text)), "query_id bigint, query string")
-    geocode.geocode(asked, index, o).orderBy("query_id", "rank").show(100, False)
+    found = geocode.geocode(asked, index, o)
+    if a.geojson:
+        for r in readers.to_geojson(found).orderBy("query_id").toLocalIterator():
+            print(r.geojson)
+    else:
+        found.orderBy("query_id", "rank").show(100, False)
 
 
 if __name__ == "__main__":

@@ -140,7 +140,7 @@ def nearest_on_line(line, lon, lat) -> Column:
         k, ln = F.cos(F.radians(v["lat"])), v["l"]
         x, y = v["lon"] * k, v["lat"]
         seg = F.transform(
-            F.sequence(F.lit(0), F.size(ln) - 2),
+            F.when(F.size(ln) > 1, F.sequence(F.lit(0), F.size(ln) - 2)),
             lambda i: F.struct((F.get(ln, i)["lon"] * k).alias("ax"), F.get(ln, i)["lat"].alias("ay"), (F.get(ln, i + 1)["lon"] * k).alias("bx"), F.get(ln, i + 1)["lat"].alias("by"), i.alias("i")),
         )
         length = lambda s: F.sqrt(F.pow(s["bx"] - s["ax"], 2) + F.pow(s["by"] - s["ay"], 2))
@@ -167,7 +167,8 @@ def nearest_on_line(line, lon, lat) -> Column:
 
         return let(let(seg, lambda g: F.struct(F.array_min(F.transform(g, project)).alias("best"), F.transform(g, length).alias("lengths"))), finish)
 
-    return let(F.struct(_c(line).alias("l"), _c(lon).cast("double").alias("lon"), _c(lat).cast("double").alias("lat")), placed)
+    some = F.when(F.size(_c(line)) > 1, F.struct(_c(line).alias("l"), _c(lon).cast("double").alias("lon"), _c(lat).cast("double").alias("lat")))
+    return let(some, lambda v: F.when(v.isNotNull(), placed(v)))
 
 
 def reverse_range(ranges, lon, lat) -> Column:
@@ -190,6 +191,23 @@ def number_buckets(numbers) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(_c(numbers), lambda x: mask_number(parse_semi_number(x).cast("string"))), lambda m: m.isNotNull())))
 
 
+def routable_point(point: Column, line: Column, interpolated: Column, own: Column | None = None) -> Column:
+    """struct(lon, lat) to route to: the feature's own one, an interpolated place itself, else the closest place of its line; null
+    without a line."""
+    at = nearest_on_line(line, point["lon"], point["lat"])
+    near = F.when(at.isNotNull(), F.struct(geo.half_up(at["lon"], 6).alias("lon"), geo.half_up(at["lat"], 6).alias("lat")))
+    here = F.struct(point["lon"].alias("lon"), point["lat"].alias("lat"))
+    found = F.when(F.coalesce(interpolated, F.lit(False)), here).otherwise(near)
+    return found if own is None else F.coalesce(own, found)
+
+
+def crossing_point(intersections: Column, phrase: Column, tokens_of) -> Column:
+    """struct(name, lon, lat) of the crossing that a phrase '+intersection <name> , <street>' means, the first of those so named.
+    ``tokens_of``: column of a name -> its tokens as indexed."""
+    asked = F.trim(F.replace(F.split(phrase, ",")[0], F.lit("+intersection"), F.lit("")))
+    return F.get(F.filter(intersections, lambda x: F.array_join(tokens_of(x["name"]), " ") == asked), F.lit(0))
+
+
 def range_buckets(low, high) -> Column:
     """Sorted distinct masks of a range: one per ten below 100, one per hundred from there."""
     a, b = F.least(_c(low), _c(high)).cast("bigint"), F.greatest(_c(low), _c(high)).cast("bigint")

@@ -61,6 +61,36 @@ def covers_windows(mask, windows) -> Column:
     return F.forall(_c(windows), lambda w: (_c(mask).bitwiseAND(w) == 0) | (_c(mask).bitwiseAND(w) == w))
 
 
+def required_masks(owner) -> Column:
+    """Masks of the runs of tokens that came from one token of the query: a match has to take each in full or not at all.
+    ``owner``: for each token the number of the one it came from."""
+    o = _c(owner)
+    at = F.when(F.size(o) > 0, F.sequence(F.lit(0), F.size(o) - 1)).otherwise(F.array().cast("array<int>"))
+    run = lambda x: F.aggregate(at, F.lit(0).cast("bigint"), lambda a, i: a + F.when(F.get(o, i) == x, power_of_two(i)).otherwise(F.lit(0)))
+    return F.filter(F.transform(F.array_distinct(o), run), lambda m: F.bit_count(m) > 1)
+
+
+def gap_masks(tokens) -> Column:
+    """Masks that add tokens which vanished from a query ("" in their place) to the neighbour before them, and to the one after."""
+    t = _c(tokens)
+    n = F.size(t)
+    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    gone = lambda i: F.coalesce(F.get(t, i) == "", F.lit(False))
+
+    def masks(start):
+        end = F.coalesce(F.array_min(F.filter(at, lambda i: (i > start) & ~gone(i))), n)
+        before, after = span_mask(start - 1, end - start + 1), span_mask(start, end - start + 1)
+        return F.when(end == n, F.array(before)).when(start > 0, F.array(before, after)).otherwise(F.array(after))
+
+    return F.flatten(F.transform(F.filter(at, lambda i: gone(i) & ~gone(i - 1)), masks))
+
+
+def cover_gaps(mask, gaps) -> Column:
+    """A match's mask, and those it has with the gaps that it touches."""
+    m = _c(mask)
+    return F.array_distinct(F.concat(F.array(m), F.transform(F.filter(_c(gaps), lambda g: g.bitwiseAND(m) != 0), lambda g: g.bitwiseOR(m))))
+
+
 def encode_log_scale(n, most) -> Column:
     """Score on a 3-bit logarithmic scale: ceil(7 ln n / ln most), logarithms in single precision; 1 gives
     1, null and what isn't above 0 give 0."""

@@ -126,6 +126,12 @@ def in_box(lon, lat, w, s, e, n) -> Column:
     return (_c(lat) >= _c(s)) & (_c(lat) <= _c(n)) & across
 
 
+def boxes_meet(a: tuple, b: tuple) -> bool:
+    """Whether two boxes (west, south, east, north) meet, either of which may cross the antimeridian; for options and bounds."""
+    parts = lambda x: [x] if x[0] <= x[2] else [(x[0], x[1], 180.0, x[3]), (-180.0, x[1], x[2], x[3])]
+    return any(p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3] for p in parts(a) for q in parts(b))
+
+
 def box_parts(box: Column) -> Column:
     """Array of boxes that don't cross the antimeridian, from array(w, s, e, n)."""
     w, s, e, n = (F.element_at(box, i) for i in (1, 2, 3, 4))
@@ -169,7 +175,7 @@ def extent(points: Column) -> Column:
 def in_ring(lon, lat, ring: Column) -> Column:
     """Point in a closed ring (array of struct(lon, lat)) by crossings."""
     x, y = _c(lon), _c(lat)
-    edges = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
+    edges = F.transform(F.when(F.size(ring) > 1, F.sequence(F.lit(0), F.size(ring) - 2)), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
     crossing = lambda e: ((e["a"]["lat"] > y) != (e["b"]["lat"] > y)) & (x < (e["b"]["lon"] - e["a"]["lon"]) * (y - e["a"]["lat"]) / F.nullif(e["b"]["lat"] - e["a"]["lat"], F.lit(0.0)) + e["a"]["lon"])
     return F.size(F.filter(edges, lambda e: F.coalesce(crossing(e), F.lit(False)))) % 2 == 1
 

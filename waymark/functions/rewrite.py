@@ -5,6 +5,7 @@ carry groups, and multiply."""
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from dataclasses import dataclass
@@ -33,9 +34,9 @@ def _plain(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
 
 
-def categorize(rules: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+def categorize(rules: dict[str, str | dict]) -> tuple[dict[str, str], dict[str, str]]:
     """Word-for-word rules, which a map lookup does, and all others."""
-    simple = {a.lower(): b for a, b in rules.items() if not _SPECIAL.search(a) and not _SPECIAL.search(b)}
+    simple = {a.lower(): b for a, b in rules.items() if isinstance(b, str) and not _SPECIAL.search(a) and not _SPECIAL.search(b)}
     return simple, {a: b for a, b in rules.items() if a.lower() not in simple}
 
 
@@ -55,6 +56,7 @@ def compile_rules(rules: dict[str, str | dict], inverse: bool = False) -> list[R
     return sorted(out, key=lambda r: (-len(r.pattern), r.pattern))
 
 
+@functools.cache
 def _regex(rule: Rule) -> re.Pattern:
     body = re.sub(r"\$(\d)", r"\\\1", rule.pattern)
     return re.compile(rf"(?<!\S)(?:{body})(?!\S)" if rule.boundary else body, re.IGNORECASE)
@@ -90,18 +92,24 @@ def replace_all(rules: list[Rule], tokens: list[str]) -> tuple[list[str], list[i
     return text, owners
 
 
-def variants(rules: list[Rule], tokens: list[str], most: int = MAX_VARIANTS) -> list[list[str]]:
-    """Distinct token lists that some subset of the rules makes, the original last, at most ``most``."""
-    seen: dict[tuple[str, ...], int] = {tuple(tokens): 0}
+def marked_variants(rules: list[Rule], tokens: list[str], most: int = MAX_VARIANTS) -> list[tuple[list[str], bool]]:
+    """Distinct token lists that some subset of the rules makes, those of most rules first, the original among them, at
+    most ``most``; each with whether a rule that reduces relevance took part."""
+    seen: dict[tuple[str, ...], tuple[int, bool]] = {tuple(tokens): (0, False)}
     frontier = [tuple(tokens)]
     for rule in rules:
         for have in list(frontier):
             made = tuple(replace_all([rule], list(have))[0])
             if made not in seen:
-                seen[made] = seen[have] + 1
+                seen[made] = (seen[have][0] + 1, seen[have][1] or rule.reduces_relevance)
                 frontier.append(made)
-    ordered = sorted(seen, key=lambda v: (-seen[v], len(v)))
-    return [list(v) for v in ordered[:most]] if tuple(tokens) in ordered[:most] else [list(v) for v in [*ordered[: most - 1], tuple(tokens)]]
+    ordered = sorted(seen, key=lambda v: (-seen[v][0], len(v)))
+    kept = ordered[:most] if tuple(tokens) in ordered[:most] else [*ordered[: most - 1], tuple(tokens)]
+    return [(list(v), seen[v][1]) for v in kept]
+
+
+def variants(rules: list[Rule], tokens: list[str], most: int = MAX_VARIANTS) -> list[list[str]]:
+    return [v for v, _ in marked_variants(rules, tokens, most)]
 
 
 def replaced(tokens, rules: list[Rule]) -> Column:
@@ -114,11 +122,27 @@ def replaced(tokens, rules: list[Rule]) -> Column:
     return run(F.col(tokens) if isinstance(tokens, str) else tokens)
 
 
+def replaced_with_owner(tokens, rules: list[Rule]) -> Column:
+    """struct(tokens, owner): token array after all rules, and for each the number of the token it came from."""
+
+    @F.pandas_udf("struct<tokens:array<string>,owner:array<int>>")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        made = [([], []) if t is None else replace_all(rules, list(t)) for t in rows]
+        return pd.DataFrame({"tokens": [m[0] for m in made], "owner": [m[1] for m in made]})
+
+    return run(F.col(tokens) if isinstance(tokens, str) else tokens)
+
+
 def replaced_variants(tokens, rules: list[Rule]) -> Column:
-    """Array of token arrays: see ``variants``."""
+    """Array of struct(tokens, reduced): see ``marked_variants``."""
 
-    @F.pandas_udf("array<array<string>>")
+    @F.pandas_udf("array<struct<tokens:array<string>,reduced:boolean>>")
     def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda t: None if t is None else variants(rules, list(t)))
+        return rows.map(lambda t: None if t is None else [{"tokens": v, "reduced": r} for v, r in marked_variants(rules, list(t))])
 
     return run(F.col(tokens) if isinstance(tokens, str) else tokens)
+
+
+def query_rules(rules: dict[str, str | dict]) -> list[Rule]:
+    """The rules that a query goes through: those that reduce relevance are for indexing only."""
+    return compile_rules({k: v for k, v in rules.items() if not (isinstance(v, dict) and v.get("reduce_relevance"))})

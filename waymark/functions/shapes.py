@@ -77,13 +77,77 @@ def tile_cover(points, z: int | Column, polygon: bool = True) -> Column:
     return run(F.col(points) if isinstance(points, str) else points, z if isinstance(z, Column) else F.lit(z))
 
 
+def lines_cover(lines, z: Column) -> Column:
+    """Array of struct(z, x, y) that several lines (an array of them) meet."""
+
+    @F.pandas_udf("array<struct<z:int,x:int,y:int>>")
+    def run(rows: pd.Series, zooms: pd.Series) -> pd.Series:
+        def one(r, k):
+            return None if r is None else [{"z": a, "x": b, "y": c} for a, b, c in sorted({t for line in r for t in cover([(p["lon"], p["lat"]) for p in line], int(k), False)})]
+
+        return pd.Series([one(r, k) for r, k in zip(rows, zooms)], index=rows.index, dtype=object)
+
+    return run(lines, z)
+
+
+PART = "struct<kind:string,lon:double,lat:double,line:array<struct<lon:double,lat:double>>>"
+
+
+def parts(features: DataFrame) -> DataFrame:
+    """The shapes that a feature (all columns of ``schema.OPTIONAL``) is found by, a row each (column ``part``): a point for each address and
+    crossing, a line for each range; where it has none of these, its ring, its line, or its center."""
+    none = F.lit(None).cast("array<struct<lon:double,lat:double>>")
+    point = lambda p: F.struct(F.lit("point").alias("kind"), p["lon"].alias("lon"), p["lat"].alias("lat"), none.alias("line"))
+    shape = lambda kind, line, lon, lat: F.struct(F.lit(kind).alias("kind"), lon.alias("lon"), lat.alias("lat"), line.alias("line"))
+    empty = F.array().cast(f"array<{PART}>")
+    some = lambda c, fn: F.coalesce(F.transform(c, fn), empty)
+    own = F.concat(some("points", point), some("intersections", point), some(F.filter("ranges", lambda r: F.size(r["line"]) > 1), lambda r: shape("line", r["line"], r["line"][0]["lon"], r["line"][0]["lat"])))
+    lon, lat = F.col("lon"), F.col("lat")
+    whole = F.when(F.size("ring") > 3, shape("ring", F.col("ring"), lon, lat)).when(F.size("line") > 1, shape("line", F.col("line"), lon, lat)).otherwise(shape("point", none, lon, lat))
+    return features.withColumn("part", F.explode(F.when(F.size(own) > 0, own).otherwise(F.array(whole))))
+
+
+def covers(part: Column, zoom: Column, points_only: bool = False) -> Column:
+    """Array of struct(z, x, y) that a part meets; ``points_only``: there are no rings or lines, so no UDF runs."""
+    if points_only:
+        return F.array(geo.tile_of(part["lon"], part["lat"], zoom))
+    long = F.when(part["kind"] != "point", part["line"])
+    closed = part["kind"] == "ring"
+    return F.when(part["kind"] == "point", F.array(geo.tile_of(part["lon"], part["lat"], zoom))).when(closed, tile_cover(F.when(closed, long), zoom)).otherwise(tile_cover(F.when(~closed, long), zoom, False))
+
+
 def tiles_of(features: DataFrame) -> DataFrame:
-    """A row per feature and tile at its zoom (column ``t``): every tile that its ring covers, and that of its center."""
-    center = geo.tile_of("lon", "lat", "zoom")
-    if "ring" not in features.columns:
-        return features.withColumn("t", center)
-    covered = features.withColumn("tiles", tile_cover("ring", F.col("zoom")))
-    return covered.withColumn("t", F.explode(F.array_union(F.array(center), F.coalesce("tiles", F.array().cast("array<struct<z:int,x:int,y:int>>"))))).drop("tiles")
+    """A row per feature (columns zoom, lon, lat and those of ``schema.OPTIONAL`` that there are) and tile (column ``t``) of its center, ring,
+    line, addresses, ranges and crossings."""
+    has = set(features.columns)
+    none = F.array().cast("array<struct<z:int,x:int,y:int>>")
+    points = lambda c: F.coalesce(F.transform(c, lambda p: geo.tile_of(p["lon"], p["lat"], F.col("zoom"))), none)
+    found = [F.array(geo.tile_of("lon", "lat", "zoom")), *(points(c) for c in ("points", "intersections") if c in has)]
+    out = features
+    if "ring" in has:
+        out = out.withColumn("__ring", tile_cover("ring", F.col("zoom")))
+        found.append(F.coalesce("__ring", none))
+    if has & {"line", "ranges"}:
+        empty = F.array().cast("array<array<struct<lon:double,lat:double>>>")
+        lines = [F.coalesce(F.transform("ranges", lambda r: r["line"]), empty)] if "ranges" in has else []
+        lines += [F.when(F.col("line").isNotNull(), F.array("line")).otherwise(empty)] if "line" in has else []
+        out = out.withColumn("__lines", lines_cover(F.concat(*lines), F.col("zoom")))
+        found.append(F.coalesce("__lines", none))
+    tiles = F.array_distinct(F.concat(*found)) if len(found) > 1 else found[0]
+    return out.withColumn("t", F.explode(nearest_tiles(tiles, F.col("lon"), F.col("lat"), F.col("zoom")) if len(found) > 1 else tiles)).drop("__ring", "__lines")
+
+
+MAX_COVERS = 10_000
+
+
+def nearest_tiles(tiles: Column, lon, lat, z, most: int = MAX_COVERS) -> Column:
+    """The tiles (array of struct(z, x, y)) closest to that of a center, at most ``most``."""
+
+    def cut(v: Column) -> Column:
+        gap = lambda t: F.pow(t["x"] - v["c"]["x"], 2) + F.pow(t["y"] - v["c"]["y"], 2)
+        return F.transform(F.slice(F.array_sort(F.transform(v["t"], lambda t: F.struct(gap(t).alias("d"), t.alias("t")))), 1, most), lambda s: s["t"])
+
+    return F.when(F.size(tiles) <= most, tiles).otherwise(geo.let(F.struct(tiles.alias("t"), geo.proximity_tile(lon, lat, z).alias("c")), cut))
 
 
 def surface_point(ring: list[tuple[float, float]]) -> tuple[float, float] | None:
@@ -98,6 +162,17 @@ def surface_point(ring: list[tuple[float, float]]) -> tuple[float, float] | None
     return (max(spans)[1], y) if spans else ring[0]
 
 
+def on_surface(ring) -> Column:
+    """struct(lon, lat) of a point inside of a ring (array of struct(lon, lat)); null for null."""
+
+    @F.pandas_udf("struct<lon:double,lat:double>")
+    def run(rows: pd.Series) -> pd.DataFrame:
+        found = [None if r is None or not len(r) else surface_point([(p["lon"], p["lat"]) for p in r]) for r in rows]
+        return pd.DataFrame({"lon": [f and f[0] for f in found], "lat": [f and f[1] for f in found]}, dtype="float64")
+
+    return run(F.col(ring) if isinstance(ring, str) else ring)
+
+
 def murmur3_32(data: bytes, seed: int = 0) -> int:
     """The 32-bit MurmurHash3 for x86."""
     mask, h = 0xFFFFFFFF, seed

@@ -2,71 +2,159 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions import bits, geo, shapes
+from waymark.functions import address, bits, geo, shapes
+from waymark.schema import complete
 
 TOLERANCE_METERS = 1000.0
 MAX_NEAREST = 5
-
-
-def tiles(features: DataFrame, sources: DataFrame) -> DataFrame:
-    """Features by their tiles at their layer's zoom, all that a ring covers, with what lookups need."""
-    f = features.join(F.broadcast(sources.select("source", "idx", "ndx", "zoom", "bounds")), "source")  # a row per layer
-    ring = F.col("ring") if "ring" in features.columns else F.lit(None).cast("array<struct<lon:double,lat:double>>")
-    return shapes.tiles_of(f).select("source", "idx", "ndx", "zoom", "bounds", F.col("t.x").alias("x"), F.col("t.y").alias("y"), "id", "text", "lon", "lat", "score", ring.alias("ring"))
+#: Points are looked up by tiles of this zoom, some 2.4 km wide, whatever their layer's: a dense layer's tiles hold few.
+POINT_ZOOM = 14
+METERS_PER_DEGREE = geo.EARTH_METERS * math.pi / 180
+
+
+def tiles(features: DataFrame, sources: DataFrame, fine: bool = True) -> DataFrame:
+    """A row per shape of a feature (addresses, ranges and crossings one by one) and tile that it meets, with what lookups need. Shapes
+    with an extent are found by tiles of their layer's zoom, points by ``POINT_ZOOM`` (not ``fine``: their layer's as well)."""
+    layer = sources.select("source", "idx", "ndx", F.col("zoom").alias("layer_zoom"), "bounds")
+    f = shapes.parts(complete(features)).join(F.broadcast(layer), "source")  # a row per layer
+    points_only = not {"ring", "line", "ranges"} & set(features.columns)
+    zoom = F.when(F.col("part.kind") == "point", POINT_ZOOM).otherwise(F.col("layer_zoom")) if fine else F.col("layer_zoom")
+    found = f.withColumn("t", F.explode(shapes.covers(F.col("part"), zoom, points_only)))
+    return found.select("source", "idx", "ndx", "bounds", F.col("t.z").alias("zoom"), F.col("t.x").alias("x"), F.col("t.y").alias("y"), "id", "text", "text_lang", "types", "stack", "lon", "lat", "score", "part")
+
+
+def cells(lon, lat, z: int, meters: float | None) -> Column:
+    """Array of struct(zoom, x, y) of the tiles that a circle around a point meets (the point's own, for null)."""
+    if meters is None:
+        own = geo.tile_of(lon, lat, z)
+        return F.array(F.struct(own["z"].alias("zoom"), own["x"].alias("x"), own["y"].alias("y")))
+    lon, lat = (F.col(v) if isinstance(v, str) else v for v in (lon, lat))
+    up = meters / METERS_PER_DEGREE
+    aside = F.least(F.lit(180.0), up / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + up))))
+    n = 2**z
+    column = lambda v: F.floor((v + 180) / 360 * n).cast("int")
+    first, last = geo.tile_of(lon, lat + up, z)["y"], geo.tile_of(lon, lat - up, z)["y"]
+    across = F.transform(F.sequence(column(lon - aside), F.least(column(lon + aside), column(lon - aside) + n - 1)), lambda x: F.pmod(x, F.lit(n)).cast("int"))
+    return F.flatten(F.transform(across, lambda x: F.transform(F.sequence(first, last), lambda y: F.struct(F.lit(z).alias("zoom"), x.alias("x"), y.alias("y")))))
 
 
 def candidates(points: DataFrame, tiled: DataFrame, zooms: list[int], tolerance: float | None = TOLERANCE_METERS) -> DataFrame:
-    """point columns (point_id, plon, plat) with every feature of the point's tile in each layer: in a polygon the
-    distance is 0, otherwise that to the feature's center, up to ``tolerance`` meters (None: the whole tile, but for
-    polygons, which have to contain the point or have their center within ``TOLERANCE_METERS``)."""
-    asked = points.withColumn("t", F.explode(F.array(*[geo.tile_of("plon", "plat", z) for z in sorted(set(zooms))])))
-    asked = asked.select(*points.columns, F.col("t.z").alias("zoom"), F.col("t.x").alias("x"), F.col("t.y").alias("y"))
-    met = asked.join(tiled, ["zoom", "x", "y"])
-    inside = F.coalesce(geo.in_ring("plon", "plat", F.col("ring")), F.lit(False))
-    meters = F.when(inside, 0.0).otherwise(geo.distance_miles("plon", "plat", "lon", "lat") * geo.METERS_PER_MILE)
-    met = met.withColumn("distance", meters).where(geo.in_box("plon", "plat", *[F.col("bounds")[i] for i in range(4)]))
-    return met.where(F.col("ring").isNull() | (F.col("distance") <= TOLERANCE_METERS) if tolerance is None else F.col("distance") <= tolerance)
-
-
-def best_per_layer(met: DataFrame, by_score: bool = False, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
+    """point columns (point_id, plon, plat) with every shape within ``tolerance`` meters: the distance is 0 in a polygon, else that to
+    the shape. A shape on several tiles may come up as often. None: all of the point's tile in each layer, by the distance to the
+    feature's center, but polygons have to hold the point or have their center within ``TOLERANCE_METERS``; goes
+    with tiles that aren't ``fine``."""
+    looked = sorted({*zooms, *([] if tolerance is None else [POINT_ZOOM])})
+    asked = points.withColumn("c", F.explode(F.array_distinct(F.concat(*[cells("plon", "plat", z, tolerance) for z in looked]))))
+    met = asked.select(*points.columns, "c.zoom", "c.x", "c.y").join(tiled, ["zoom", "x", "y"])
+    part = F.col("part")
+    inside = F.coalesce((part["kind"] == "ring") & geo.in_ring("plon", "plat", F.when(part["kind"] == "ring", part["line"])), F.lit(False))
+    center = geo.distance_miles("plon", "plat", "lon", "lat") * geo.METERS_PER_MILE
+    if tolerance is None:
+        meters = F.when(inside, 0.0).otherwise(center)
+        limit = (part["kind"] != "ring") | (F.col("distance") <= TOLERANCE_METERS)
+    else:
+        edge = address.nearest_on_line(F.when(part["kind"] != "point", part["line"]), F.col("plon"), F.col("plat"))["dist"] * geo.METERS_PER_MILE
+        meters = F.when(inside, 0.0).when(part["kind"] == "point", geo.distance_miles("plon", "plat", part["lon"], part["lat"]) * geo.METERS_PER_MILE).otherwise(edge)
+        limit = F.col("distance") <= tolerance
+    met = met.withColumns({"distance": meters, "polygon": part["kind"] == "ring"})
+    return met.where(geo.in_box("plon", "plat", *[F.col("bounds")[i] for i in range(4)]) & limit)
+
+
+def best_per_layer(met: DataFrame, by_score: bool | Column = False, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
     """Per point and layer the closest feature, the lowest id of equally close ones; ghosts (score below 0) only
-    where they were asked for (column ``matched``). ``by_score``: by score over distance."""
+    where they were asked for (column ``matched``), and then after others that were. ``by_score``: by score over distance."""
     asked = F.col("matched") if "matched" in met.columns else F.lit(False)
-    rows = met.where((F.coalesce("score", F.lit(0.0)) >= 0) | asked)
-    lead = [F.desc(geo.distscore("distance", F.coalesce("score", F.lit(0.0))))] if by_score else []
-    w = Window.partitionBy(*keys, "source").orderBy(asked.cast("int").desc(), *lead, "distance", "id")
+    alive = F.coalesce("score", F.lit(0.0)) >= 0
+    rows = met.where(alive | asked)
+    lead = []
+    if by_score is not False:
+        score = geo.distscore("distance", F.coalesce("score", F.lit(0.0)))
+        lead = [F.desc(score if by_score is True else F.when(by_score, score))]
+    w = Window.partitionBy(*keys, "source").orderBy(asked.cast("int").desc(), alive.cast("int").desc(), *lead, "distance", "id")
     return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def nearest(met: DataFrame, k: int, source: str | None = None) -> DataFrame:
-    """Per point its k closest features, at most five of a layer: adds rank."""
-    rows = met if source is None else met.where(F.col("source") == source)
+    """Per point its k closest features, at most five of a layer, each by its closest shape: adds rank. Ghosts don't count."""
+    rows = met.where(F.coalesce("score", F.lit(0.0)) >= 0)
+    rows = rows if source is None else rows.where(F.col("source") == source)
+    own = Window.partitionBy("point_id", "source", "id").orderBy("distance", "part")
+    rows = rows.withColumn("_rn", F.row_number().over(own)).where(F.col("_rn") == 1)
     per = Window.partitionBy("point_id", "source").orderBy("distance", "id")
     rows = rows.withColumn("_rn", F.row_number().over(per)).where(F.col("_rn") <= MAX_NEAREST).drop("_rn")
     w = Window.partitionBy("point_id").orderBy("distance", F.desc("idx"), "id")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hierarchies(chosen: DataFrame) -> DataFrame:
-    """point_id, context: the chosen features of a point from fine to coarse."""
-    item = F.struct((-F.col("idx")).alias("order"), "source", "idx", "ndx", "id", "text", "lon", "lat", "score", "distance", bits.tmpid("idx", "id").alias("tmpid"))
-    return chosen.groupBy("point_id").agg(F.array_sort(F.collect_list(item)).alias("context"))  # one per layer
+#: A feature in a context, as ``hierarchies`` makes it: of a layer (source, idx, ndx, family and its types), ``type``: the one it stands for.
+ITEM = ("order", "source", "idx", "ndx", "type", "family", "types", "own_types", "stacks", "id", "text", "text_lang", "stack", "lon", "lat", "score", "distance", "polygon", "tmpid")
+
+
+def hierarchies(chosen: DataFrame, sources: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """point_id, context: the chosen features of a point from fine to coarse. A feature's own types go before its layer's."""
+    layer = sources.select("source", F.col("types").alias("layer_types"), F.col("stack").alias("stacks"), F.get_json_object("config", "$.family").alias("family"))
+    rows = chosen.join(F.broadcast(layer), "source")  # a row per layer
+    made = {
+        "order": -F.col("idx"), "type": F.element_at("layer_types", -1), "family": F.coalesce("family", "source"), "own_types": F.coalesce("types", "layer_types"), "types": F.col("layer_types"), "tmpid": bits.tmpid("idx", "id"),
+    }
+    item = F.struct(*[made.get(c, F.col(c)).alias(c) for c in (*ITEM, *more)])
+    by_order = lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).otherwise(0)  # noqa: E731 - maps don't sort
+    return rows.groupBy("point_id").agg(F.array_sort(F.collect_list(item), by_order).alias("context"))  # one per layer
+
+
+def stacked(rows: DataFrame, wanted: list[str] | None = None, stacks: list[str] | None = None, top: Column | None = None, by_score: bool = False) -> DataFrame:
+    """``context`` (see ``hierarchies``) with one feature for each type, from fine to coarse. A feature takes the last of its types that is free, or
+    whose holder it is closer than (by score: and scores higher), if it is no polygon; a layer's family name and its type exclude
+    each other. ``wanted``: types that the first feature has to be of; ``stacks``: and the stacks that its layer has to be of, if it is of any.
+    ``top``: a type that is taken already."""
+    kind = rows.schema["context"].dataType.elementType
+    none = F.array().cast(f"array<struct<type:string,conflict:string,f:{kind.simpleString()}>>")
+    names = [f.name for f in kind.fields]
+    heads = strings({t.split(".")[0] for t in wanted}) if wanted else None
+
+    def step(held: Column, f: Column) -> Column:
+        first = F.size(held) == 0
+
+        def holder(t: Column) -> Column:
+            return F.get(F.filter(held, lambda s: (s["type"] == t) | (s["conflict"] == t)), F.lit(0))["f"]
+
+        def usable(t: Column) -> Column:
+            asked = F.array_contains(heads, t) if wanted else F.lit(True)
+            free = holder(t)["id"].isNull()
+            closer = ~f["polygon"] & (f["distance"] < holder(t)["distance"]) & asked
+            if by_score:
+                mine, its = F.coalesce(f["score"], F.lit(0.0)), F.coalesce(holder(t)["score"], F.lit(0.0))
+                closer = closer & ~((its != 0) & ((mine == 0) | (its >= mine)))
+            may = (asked | ~first) & (F.lit(True) if top is None else ~F.coalesce(t == top, F.lit(False)))
+            return may & (free | closer)
+
+        of_stack = (F.size(f["stacks"]) == 0) | F.arrays_overlap(f["stacks"], strings(stacks)) if stacks else F.lit(True)
+        chosen = F.get(F.filter(F.reverse(f["own_types"]), usable), F.lit(0))
+
+        def taken(t: Column) -> Column:
+            conflict = F.when(f["family"] != F.element_at(f["types"], -1), f["family"]).otherwise(t)
+            new = F.struct(t.alias("type"), conflict.alias("conflict"), F.struct(*[(t if c == "type" else f[c]).alias(c) for c in names]).alias("f"))
+            return F.concat(F.filter(held, lambda s: ~((s["type"] == t) | (s["conflict"] == t))), F.array(new))
+
+        return geo.let(chosen, lambda t: F.when(t.isNull() | (first & ~of_stack), held).otherwise(taken(t)))
+
+    return rows.withColumn("context", F.transform(F.aggregate("context", none, step), lambda s: s["f"]))
 
 
-def stacked(context: Column) -> Column:
-    """Of each logical layer the first feature only, from fine to coarse; a closer one takes the place of a later."""
-    seen = F.transform(context, lambda c: c["ndx"])
-    return F.filter(context, lambda c, i: F.array_position(seen, c["ndx"]) == i + 1)
+def strings(values) -> Column:
+    return F.array(*[F.lit(v) for v in sorted(values)]).cast("array<string>")
 
 
 def suffixes(rows: DataFrame, context: str = "context") -> DataFrame:
     """[a, b, c] as three rows: [a, b, c], [b, c], [c]; adds depth."""
     n = F.size(context)
-    return rows.select("*", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(context, i, n))).alias("depth", "suffix"))
+    return rows.select("*", F.posexplode(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)), lambda i: F.slice(context, i, n))).alias("depth", "suffix"))
 
 
 def place_name(context: Column) -> Column:

@@ -26,6 +26,34 @@ def of_types(source: Source, types: list[str] | None, score: str = "score") -> C
     return F.coalesce(out, F.lit(False))
 
 
+def of_any_types(types: list[str] | None, score: str = "score", own: str = "own_types") -> Column:
+    """``of_types`` for rows of several layers: columns with a feature's own types, its layer's scoreranges and maxscore."""
+    if not types:
+        return F.lit(True)
+    whole = [t for t in types if "." not in t]
+    out = F.arrays_overlap(own, F.array(*[F.lit(t) for t in whole])) if whole else F.lit(False)
+    for kind, _, sub in (t.partition(".") for t in types if "." in t):
+        span = F.try_element_at("scoreranges", F.lit(sub))
+        inside = (F.col(score) >= span[0] * F.col("maxscore")) & (F.col(score) <= span[1] * F.col("maxscore"))
+        out = out | F.array_contains(own, kind) & (F.coalesce(F.col(score), F.lit(0.0)) != 0) & inside
+    return F.coalesce(out, F.lit(False))
+
+
+def in_subtype_range(types: list[str] | None, score: str = "score") -> Column:
+    """Reverse queries: of a layer whose subtype is asked for only features with a score in its range, open below."""
+    out = F.lit(True)
+    for kind, _, sub in (t.partition(".") for t in types or () if "." in t):
+        span = F.try_element_at("scoreranges", F.lit(sub))
+        held = in_score_range(F.coalesce(F.col(score), F.lit(0.0)), span[0] * F.col("maxscore"), span[1] * F.col("maxscore"))
+        out = out & F.when((F.element_at("layer_types", -1) == kind) & span.isNotNull(), held).otherwise(True)
+    return out
+
+
+def allowed(types: list[str] | None, texts: str = "text_lang", languages: list[str] | None = None, strict: bool = False) -> Column:
+    """Whether a feature may be a result: of a type asked for, and in strict mode with a text in the language."""
+    return of_any_types(types) & in_language(texts, languages, strict)
+
+
 def of_stacks(stacks: list[str] | None, stack: str = "stack") -> Column:
     return F.lit(True) if not stacks else F.col(stack).isNull() | F.col(stack).isin(stacks)
 
@@ -35,18 +63,15 @@ def of_any_stack(stacks: list[str], stack: str = "stack") -> Column:
     return (F.size(stack) == 0) | F.arrays_overlap(stack, F.array(*[F.lit(s) for s in stacks]))
 
 
-def in_score_range(score: str, lo: float, hi: float) -> Column:
+def in_score_range(score, lo, hi) -> Column:
     """Range of reverse queries: open below, closed above."""
-    return (F.col(score) > lo) & (F.col(score) <= hi)
+    s = F.col(score) if isinstance(score, str) else score
+    return (s > lo) & (s <= hi)
 
 
 def in_language(texts: str, languages: list[str] | None, strict: bool) -> Column:
-    if not strict or not languages:
-        return F.lit(True)
-    out = F.lit(False)
-    for code in languages:
-        out = out | F.coalesce(has_language(texts, code), F.lit(False))
-    return out
+    """In strict mode: whether there is a text in the first language, or one that counts as the same."""
+    return F.coalesce(has_language(texts, languages[0]), F.lit(False)) if strict and languages else F.lit(True)
 
 
 def in_bbox(bbox, lon: str = "lon", lat: str = "lat") -> Column:

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.config import Source
+from waymark.functions.geo import let
+from waymark.functions.lang import closest_label
+from waymark.functions.template import formatted
+from waymark.operators.filters import in_language
+
 SHARD_BASE = 16
 
 
@@ -65,19 +71,89 @@ def override_boost(relevance, overrides, peers) -> Column:
     return F.when(F.coalesce(borne, F.lit(False)), F.least(r + 0.05, F.lit(1.0))).otherwise(r)
 
 
-def used_sources(rows: DataFrame) -> DataFrame:
-    """query_id, sources: the layers its results come from."""
-    return rows.groupBy("query_id").agg(F.array_sort(F.collect_set(F.split("id", r"\.")[0])).alias("sources"))  # one per layer
-
-
-def filled_languages(phrases: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
-    """phrases (source, id, phrase, lang) with those of the nearest language a feature has for each wanted one it
-    lacks. ``wanted``: language -> those that may stand in, best first."""
-    spark = phrases.sparkSession
-    pairs = [(lang, c, i) for lang, cs in wanted.items() for i, c in enumerate(cs)]
-    table = F.broadcast(spark.createDataFrame(pairs, "want string, lang string, place int"))  # a few languages
-    has = phrases.groupBy("source", "id").agg(F.collect_set("lang").alias("has"))
-    near = phrases.join(table, "lang").join(has, ["source", "id"]).where(~F.array_contains("has", F.col("want")))
-    first = F.min("place").over(Window.partitionBy("source", "id", "want"))
-    extra = near.withColumn("_p", first).where(F.col("place") == F.col("_p")).select("source", "id", "phrase", F.col("want").alias("lang"))
-    return phrases.select("source", "id", "phrase", "lang").unionByName(extra).distinct()
+def with_indexes(rows: DataFrame) -> DataFrame:
+    """Adds sources: the layers that a query's results, contexts included, come from."""
+    every = F.array_distinct(F.flatten(F.collect_set(F.transform("context", lambda c: c["source"])).over(Window.partitionBy("query_id"))))  # at most ten results
+    return rows.withColumn("sources", F.array_sort(every))
+
+
+def displayed(texts: Column, text: Column, language: str | None) -> Column:
+    """struct(language, text): the name that a feature goes by in a language, its first synonym; its own text where it has none near."""
+    plain = F.struct(F.lit(None).cast("string").alias("language"), F.trim(F.split(text, ",")[0]).alias("text"))
+    if not language:
+        return plain
+    near = closest_label(texts, language)
+    return F.when(near.isNotNull(), F.struct(F.replace(near["language"], F.lit("_"), F.lit("-")).alias("language"), F.trim(F.split(near["text"], ",")[0]).alias("text"))).otherwise(plain)
+
+
+def templates(layers: list[Source], context: Column, language: str | None, own_formats: bool = False) -> Column:
+    """The template for a context (array of ITEM): the target's own one (with ``own_formats``: items have formats), else its layer's; one
+    in the language only where something in the context has a text in it."""
+    head = F.get(context, F.lit(0))
+    layer = F.lit(None).cast("map<string,string>")
+    for s in layers:
+        if s.formats:
+            layer = F.when(head["source"] == s.name, F.create_map(*[F.lit(x) for k, v in s.formats.items() for x in (k.replace("-", "_"), v)])).otherwise(layer)
+
+    def choose(m: Column) -> Column:
+        default = F.try_element_at(m, F.lit(""))
+        if not language:
+            return default
+        spoken = F.exists(context, lambda c: closest_label(c["text_lang"], language).isNotNull())
+        return F.coalesce(F.when(spoken, closest_label(F.map_filter(m, lambda k, v: k != ""), language)["text"]), default)
+
+    return F.coalesce(choose(head["formats"]), choose(layer)) if own_formats else choose(layer)
+
+
+def with_names(rows: DataFrame, layers: list[Source], languages: list[str] | None = None, strict: bool = False, helpers: dict | None = None) -> DataFrame:
+    """Adds text, language, place_name, and, with languages, names: language -> struct(text, language, place_name). ``context``: array of ITEM
+    from the target up; ``address``: its house number or null; ``crossing_name``: the street it crosses, or null."""
+    kind = rows.schema["context"].dataType.elementType
+    context = F.col("context")
+    own_formats = "formats" in kind.fieldNames()
+    head = F.get(context, F.lit(0))
+    token = F.lit(None).cast("string")
+    for s in layers:
+        if s.intersection_token:
+            token = F.when(head["source"] == s.name, s.intersection_token).otherwise(token)
+    use_templates = own_formats or any(s.formats for s in layers)
+
+    def named(language: str | None, matched: bool = False) -> tuple[Column, Column]:
+        kept = F.filter(context, lambda c: in_language(c["text_lang"], [language], True)) if strict and language else context
+
+        def name(c: Column, i: Column) -> Column:
+            shown = displayed(c["text_lang"], c["text"], language)["text"]
+            shown = F.coalesce(F.when(i == 0, F.concat(F.col("crossing_name"), F.lit(" "), token, F.lit(" "), shown)), shown)
+            return F.coalesce(F.when(i == 0, F.col("matching_text")), shown) if matched else shown
+
+        parts = F.transform(kept, lambda c, i: F.struct(c["type"].alias("type"), name(c, i).alias("name"), F.when(i == 0, F.col("address")).alias("number")))
+        plain = F.concat(F.coalesce(F.concat(F.col("address"), F.lit(" ")), F.lit("")), F.array_join(F.transform(parts, lambda p: p["name"]), ", "))
+        if not use_templates:
+            return displayed(head["text_lang"], head["text"], language), F.trim(plain)
+        template = templates(layers, context, language, own_formats)
+        return displayed(head["text_lang"], head["text"], language), F.when(template.isNull(), F.trim(plain)).otherwise(formatted(parts, template, helpers))
+
+    shown, place = named(languages[0] if languages else None)
+    out = rows.withColumns({"text": shown["text"], "language": shown["language"], "place_name": place})
+    if languages:
+        every = []
+        for code in languages:
+            s, p = named(code)
+            every += [F.lit(code), F.struct(s["text"].alias("text"), s["language"].alias("language"), p.alias("place_name"))]
+        out = out.withColumn("names", F.create_map(*every))
+    if "matching_text" in rows.columns:
+        out = out.withColumn("matching_place_name", F.when(F.col("matching_text").isNotNull(), named(languages[0] if languages else None, True)[1]))
+    return out
+
+
+def matching_name(texts: Column, text: Column, asked: Column, shown: Column, categories: Column | None = None) -> Column:
+    """The synonym, in whatever language, that a matched phrase is closest to; null if it is what is shown, or a category."""
+    every = F.concat(F.split(text, ","), F.coalesce(F.flatten(F.transform(F.map_values(texts), lambda v: F.split(v, ","))), F.array().cast("array<string>")))
+    a = F.lower(asked)
+
+    def ranked(v: Column) -> Column:
+        return F.array_min(F.transform(v["e"], lambda x, i: F.struct(F.levenshtein(F.lower(F.trim(x)), v["a"]).alias("d"), i.alias("i"), F.trim(x).alias("t"))))["t"]
+
+    best = let(F.struct(every.alias("e"), a.alias("a")), ranked)
+    plain = F.when((best != shown) & asked.isNotNull(), best)
+    return plain if categories is None else F.when(~F.coalesce(F.array_contains(categories, F.lower(plain)), F.lit(False)), plain)

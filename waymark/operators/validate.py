@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.config import Source
+from waymark.functions import geo, shapes
+from waymark.schema import complete
 
-MAX_SYNONYMS, MAX_VERTICES, MAX_COVERS = 10, 50_000, 10_000
+MAX_SYNONYMS, MAX_VERTICES = 10, 50_000
 
 
 def errors(is_address: Column | bool = False, vertices: Column | None = None) -> Column:
@@ -25,12 +27,84 @@ def errors(is_address: Column | bool = False, vertices: Column | None = None) ->
     return F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(text)) for test, text in tests]))
 
 
+def vertices(ring: Column) -> Column:
+    return F.coalesce(F.size(ring), F.lit(0))
+
+
+def has_addresses() -> Column:
+    """Whether a feature has house numbers or crossings of its own."""
+    return (F.coalesce(F.size("points"), F.lit(-1)) > 0) | (F.coalesce(F.size("ranges"), F.lit(-1)) > 0) | (F.coalesce(F.size("intersections"), F.lit(-1)) > 0)
+
+
 def checked(docs: DataFrame, strict: bool = False, **kw) -> DataFrame:
     """Adds ``errors``; ``strict``: the first document with one fails the job."""
     found = docs.withColumn("errors", errors(**kw))
     if not strict:
         return found
-    return found.withColumn("id", F.when(F.size("errors") > 0, F.raise_error(F.array_join("errors", "; "))).otherwise(F.col("id")))
+    return found.withColumn("id", F.when(F.size("errors") > 0, F.raise_error(F.concat(F.array_join("errors", "; "), F.lit(" on id:"), F.coalesce(F.col("id").cast("string"), F.lit("none"))))).otherwise(F.col("id")))
+
+
+def accepted(docs: DataFrame, on_error: str = "fail") -> DataFrame:
+    """Complete documents that may be indexed. ``on_error``: "fail" the job at one that may not, or "drop" it."""
+    if on_error not in ("fail", "drop"):
+        raise ValueError(f"on_error is fail or drop, not {on_error}")
+    found = checked(complete(docs), on_error == "fail", is_address=has_addresses(), vertices=vertices(F.col("ring")))
+    return (found if on_error == "fail" else found.where(F.size("errors") == 0)).drop("errors")
+
+
+def number_fences(points: Column) -> Column:
+    """struct(lower, low, upper, high, outliers) of the numbers of address points: fences around the 10th and 90th percentile, the
+    least and greatest number within them, and how many lie outside. Null without numbers."""
+    n = F.array_sort(F.filter(F.transform(points, lambda p: F.regexp_extract(p["num"], r"^\s*(\d+)", 1).try_cast("int")), lambda v: v.isNotNull()))
+
+    def percentile(v: Column, share: float) -> Column:
+        at = (F.size(v) - 1) * share
+        low = F.floor(at).cast("int")
+        return F.floor(F.get(v, low) + (F.coalesce(F.get(v, low + 1), F.get(v, low)) - F.get(v, low)) * (at - low))
+
+    def fenced(v: Column) -> Column:
+        def bounds(q: Column) -> Column:
+            reach = (q["b"] - q["a"]) / 0.8 * 0.6
+            lower, upper = q["a"] - reach, q["b"] + reach
+            inside = F.filter(v, lambda x: (x >= lower) & (x <= upper))
+            return F.struct(lower.alias("lower"), F.array_min(inside).alias("low"), upper.alias("upper"), F.array_max(inside).alias("high"), (F.size(v) - F.size(inside)).alias("outliers"))
+
+        return geo.let(F.struct(percentile(v, 0.1).alias("a"), percentile(v, 0.9).alias("b")), bounds)
+
+    return F.when(F.size(points) > 0, geo.let(n, lambda v: F.when(F.size(v) > 0, fenced(v))))
+
+
+def clamped_ranges(points: Column, ranges: Column) -> Column:
+    """Ranges whose numbers beyond the fences of the address points are drawn to the points that lie within."""
+
+    def clamp(n: Column, f: Column) -> Column:
+        return F.when(n < f["lower"], f["low"]).when(n > f["upper"], f["high"]).otherwise(n).cast("int")
+
+    def one(f: Column) -> Column:
+        new = lambda r: F.struct(r["i"].alias("i"), *[clamp(r[k], f).alias(k) for k in ("lf", "lt", "rf", "rt")], r["lp"].alias("lp"), r["rp"].alias("rp"), r["line"].alias("line"))
+        return F.when(f["outliers"] > 0, F.transform(ranges, new)).otherwise(ranges)
+
+    return F.when(ranges.isNotNull(), F.coalesce(geo.let(number_fences(points), one), ranges))
+
+
+def standardized(docs: DataFrame, sources: list[Source], columns: set[str] | None = None) -> DataFrame:
+    """Documents as they are indexed: rings counter-clockwise, house numbers in lower case, ranges without outliers, and centers
+    within a tile of the shape (else a point on its surface). ``columns``: those that aren't null throughout."""
+    has, out = set(docs.columns) if columns is None else columns, docs
+    if "points" in has:
+        lower = F.transform("points", lambda p: F.struct(F.lower(p["num"]).alias("num"), p["lon"].alias("lon"), p["lat"].alias("lat"), p["style"].alias("style")))
+        out = out.withColumn("points", lower)
+        if "ranges" in has:
+            out = out.withColumn("ranges", clamped_ranges(F.col("points"), F.col("ranges")))
+    if "ring" not in has:
+        return out
+    out = out.withColumn("ring", F.when(F.size("ring") > 3, rewound(F.col("ring"))).otherwise(F.col("ring")))
+    zoom = F.element_at(F.create_map(*[F.lit(x) for s in sources for x in (s.name, s.zoom)]), F.col("source"))
+    off = F.col("ring").isNotNull() & ~F.coalesce(geo.in_ring("lon", "lat", F.col("ring")), F.lit(False))
+    # the tile cover is looked at only where the ring doesn't hold the center
+    astray = off & ~F.coalesce(center_in_cover(shapes.tile_cover(F.when(off, F.col("ring")), zoom), F.col("lon"), F.col("lat")), F.lit(True))
+    moved = F.when(astray, shapes.on_surface(F.when(off, F.col("ring"))))
+    return out.withColumn("__at", moved).withColumns({"lon": F.coalesce("__at.lon", "lon"), "lat": F.coalesce("__at.lat", "lat")}).drop("__at")
 
 
 def center_in_cover(tiles: Column, lon, lat) -> Column:
@@ -38,12 +112,6 @@ def center_in_cover(tiles: Column, lon, lat) -> Column:
     return F.exists(tiles, lambda t: geo.tile_of(lon, lat, t["z"]) == F.struct(t["z"].cast("int").alias("z"), t["x"].cast("int").alias("x"), t["y"].cast("int").alias("y")))
 
 
-def nearest_covers(tiles: Column, lon, lat, most: int = MAX_COVERS) -> Column:
-    """The covers closest to the center, at most ``most``."""
-    gap = lambda t: geo.distance_miles(lon, lat, *geo.tile_corner(t["x"] + 0.5, t["y"] + 0.5, t["z"]))
-    return F.transform(F.slice(F.array_sort(F.transform(tiles, lambda t: F.struct(gap(t).alias("d"), t.alias("t")))), 1, most), lambda s: s["t"])
-
-
 def rewound(ring: Column) -> Column:
     """A ring turned counter-clockwise."""
     pair = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: (F.get(ring, i + 1)["lon"] - F.get(ring, i)["lon"]) * (F.get(ring, i + 1)["lat"] + F.get(ring, i)["lat"]))
@@ -51,8 +119,8 @@ def rewound(ring: Column) -> Column:
 
 
 def outlier_bounds(docs: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Fences around the 10th and 90th percentile, and how many values lie outside."""
-    q = docs.groupBy(*by).agg(F.expr(f"percentile({value}, array(0.1, 0.9))").alias("q"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """Fences around the 10th and 90th percentile, and how many values lie within."""
+    q = docs.groupBy(*by).agg(F.expr(f"percentile({value}, array(0.1, 0.9))").alias("q"))
     reach = (F.col("q")[1] - F.col("q")[0]) * 1.5
     fenced = q.select(*by, F.floor(F.col("q")[0] - reach).alias("lower"), F.floor(F.col("q")[1] + reach).alias("upper"))
     inside = docs.join(fenced, by).where((F.col(value) >= F.col("lower")) & (F.col(value) <= F.col("upper")))

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 MAX_ZOOM_NEAR_MISS, MAX_TEXT_NEAR_MISS = 8, 3
 
 #: One element of a context, from fine to coarse. hit: this feature was matched. near: another feature of its layer was.
-ELEMENT = "struct<hit:boolean,near:boolean,mask:bigint,relev:double,text:string,ndx:int,ignore:boolean>"
+#: name: its own text. inherit, grant: whether its layer takes, and gives, score by alike names.
+ELEMENT = "struct<hit:boolean,near:boolean,mask:bigint,relev:double,text:string,ndx:int,ignore:boolean,name:string,inherit:boolean,grant:boolean>"
+NAMESAKE_BONUS, ORDER_BONUS = 0.01, 0.01
 
 
 def relevance(context: Column, address_order: Column) -> Column:
@@ -39,8 +41,16 @@ def relevance(context: Column, address_order: Column) -> Column:
     end = F.aggregate(context.cast(f"array<{ELEMENT}>"), start, step)
     fits = (end["close"] != 0) & (end["close"].bitwiseAND(end["used"]) == 0)
     total = end["relev"] + F.when(fits, end["near"]).otherwise(0.0)
-    total = total - F.when(end["dir"] != "", 0.01).otherwise(0.0) + F.when(end["dir"] == address_order, 0.01).otherwise(0.0)
-    return F.greatest(total, F.lit(0.0))
+    total = total - F.when(end["dir"] != "", ORDER_BONUS).otherwise(0.0) + F.when(end["dir"] == address_order, ORDER_BONUS).otherwise(0.0)
+    return F.greatest(total + F.when(namesakes(context.cast(f"array<{ELEMENT}>")), NAMESAKE_BONUS).otherwise(0.0), F.lit(0.0))
+
+
+def namesakes(context: Column) -> Column:
+    """Whether a coarser feature that wasn't matched has the name of the first matched one beyond the target, their layers giving and
+    taking score: 'main st new york' prefers new york, new york."""
+    first = F.array_min(F.transform(context, lambda e, i: F.when((i > 0) & e["hit"] & F.coalesce(e["inherit"], F.lit(False)), i)))
+    alike = lambda at: F.exists(F.transform(context, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda x: (x["i"] > at) & ~x["e"]["hit"] & ~x["e"]["near"] & F.coalesce(x["e"]["grant"], F.lit(False)) & F.contains(x["e"]["name"], F.split(F.get(context, at)["name"], ",")[0]))
+    return F.when(first.isNotNull(), F.coalesce(alike(first), F.lit(False))).otherwise(False)
 
 
 def order_features(rows: DataFrame, most: int) -> DataFrame:
@@ -51,18 +61,35 @@ def order_features(rows: DataFrame, most: int) -> DataFrame:
 
 def order_contexts(rows: DataFrame, most: int) -> DataFrame:
     """Verified results: adds rank, up to ``most`` per query."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("verified"), F.desc("relevance"), F.desc("scoredist"), F.asc(F.col("omitted").cast("int")), F.desc("idx"), "position", "id")
+    has = set(rows.columns)
+    near = [F.desc(F.col("inside_radius").cast("int"))] if "inside_radius" in has else []
+    number = [F.asc_nulls_last("address_at")] if "address_at" in has else []
+    w = Window.partitionBy("query_id").orderBy(
+        F.desc("verified"), F.desc("relevance"), *near, F.desc("scoredist"), F.asc(F.col("omitted").cast("int")), F.desc("idx"), *number, F.asc(F.col("interpolated").cast("int")), "position", "id",
+        *(["lon", "lat"] if {"lon", "lat"} <= has else []),
+    )
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def good_contexts(rows: DataFrame) -> DataFrame:
+    """query_id, good: how many results are borne out as well as their stack promised."""
+    return rows.groupBy("query_id").agg(F.count_if(F.col("verified") >= F.col("stack_relev")).alias("good"))
+
+
 def dedupe(rows: DataFrame, name: str = "place_name") -> DataFrame:
-    """One result per query and place name, in the place of the first: the payload is that of the best of them, not
-    omitted before omitted, not interpolated before interpolated, then by rank."""
+    """One result per query and place name (null: each its own), in the place of the first: the payload is that of the best of them, with a house
+    number before without (column ``address``), not omitted before omitted, not interpolated before interpolated, then by rank. If
+    any goes, the rest are put in order of relevance again (column ``verified``)."""
     w = Window.partitionBy("query_id", name)
-    best = F.row_number().over(w.orderBy(F.col("omitted").cast("int"), F.col("interpolated").cast("int"), "rank"))
-    kept = rows.withColumns({"_best": best, "_slot": F.min("rank").over(w)}).where(F.col("_best") == 1)
-    again = F.row_number().over(Window.partitionBy("query_id").orderBy("_slot"))
-    return kept.withColumn("rank", again).drop("_best", "_slot")
+    number = [F.col("address").isNull().cast("int")] if "address" in rows.columns else []
+    best = F.row_number().over(w.orderBy(*number, F.col("omitted").cast("int"), F.col("interpolated").cast("int"), "rank"))
+    kept = rows.withColumns({"_best": best, "_slot": F.min("rank").over(w)})
+    kept = kept.withColumns({"_best": F.when(F.col(name).isNull(), 1).otherwise(F.col("_best")), "_slot": F.when(F.col(name).isNull(), F.col("rank")).otherwise(F.col("_slot"))})
+    every = Window.partitionBy("query_id")
+    kept = kept.withColumn("_gone", F.max((F.col("_best") > 1).cast("int")).over(every)).where(F.col("_best") == 1)
+    lead = [F.desc(F.when(F.col("_gone") == 1, F.col("verified")))] if "verified" in rows.columns else []
+    again = F.row_number().over(every.orderBy(*lead, "_slot"))
+    return kept.withColumn("rank", again).drop("_best", "_slot", "_gone")
 
 
 def squishy(rows: DataFrame) -> DataFrame:

@@ -270,7 +270,7 @@ _C2S = sql_miles("c.lon", "c.lat", "s.lon", "s.lat")
 r as (select c_custkey, s_suppkey, row_number() over (partition by c_custkey order by {_C2S}, s_suppkey) as rank from c join s using (x, y)) select c_custkey, cast(rank as int) as rank, s_suppkey from r where rank <= 3""")
 def op_nearest_k(spark, d):
     points = placed(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("point_id"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-    met = ctx.candidates(points, ctx.tiles(supplier_layer(spark, d), catalog(spark, [Source("supplier", zoom=3, bounds=(-180.0, -90.0, 180.0, 90.0))])), [3], None)
+    met = ctx.candidates(points, ctx.tiles(supplier_layer(spark, d), catalog(spark, [Source("supplier", zoom=3, bounds=(-180.0, -90.0, 180.0, 90.0))]), False), [3], None)
     return ctx.nearest(met, 3).select(F.col("point_id").alias("c_custkey"), "rank", F.col("id").alias("s_suppkey"))
 
 
@@ -292,8 +292,8 @@ def op_reverse_hierarchy(spark, d):
     wide = (-180.0, -90.0, 180.0, 90.0)
     cat = catalog(spark, [Source("nation", zoom=2, bounds=wide), Source("supplier", zoom=3, bounds=wide)])
     points = placed(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("point_id"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-    met = ctx.candidates(points, ctx.tiles(nation.unionByName(supplier_layer(spark, d)), cat), [2, 3], None)
-    return ctx.hierarchies(ctx.best_per_layer(met)).select(F.col("point_id").alias("c_custkey"), ctx.place_name(F.col("context")).alias("place_name"))
+    met = ctx.candidates(points, ctx.tiles(nation.unionByName(supplier_layer(spark, d)), cat, False), [2, 3], None)
+    return ctx.hierarchies(ctx.best_per_layer(met), cat).select(F.col("point_id").alias("c_custkey"), ctx.place_name(F.col("context")).alias("place_name"))
 
 
 @query("op_suffix_contexts", "select n_nationkey, d as depth, array_to_string(list_value(n_name, r_name, 'world')[d + 1:], ', ') as place_name from nation join region on n_regionkey = r_regionkey, unnest(range(0, 3)) as t(d)")
