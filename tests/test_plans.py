@@ -18,7 +18,7 @@ def made(spark, sources, docs, **kw):
 
 
 def doc(source, id_, text, lon=1.0, lat=1.0, score=1.0, **kw):
-    return {"source": source, "id": id_, "text": text, "lon": lon, "lat": lat, "score": score} | kw
+    return {"source": source, "id": id_, "text": text, "lon": float(lon), "lat": float(lat), "score": score} | kw
 
 
 def ask(spark, index, *queries, helpers=None, **options):
@@ -119,9 +119,9 @@ def test_languages(spark):
 
 
 def test_missing_languages_are_filled(spark):
-    index = made(spark, [Source("place", languages=("hr", "sr", "en"))], [doc("place", 1, "beograd", text_lang={"sr": "belgrado"}), doc("place", 2, "x", text_lang={"en": "ex"})])
+    index = made(spark, [Source("place", languages=("hr", "sr", "en"))], [doc("place", 1, "beograd", text_lang={"hr": "belgrad"}), doc("place", 2, "x", text_lang={"en": "ex"})])
     langs = {(r.id, r.phrase): r.langs for r in index.grid.collect()}
-    assert langs[1, "belgrado"] == ["hr", "sr"] and langs[2, "ex"] == ["en"] and langs[1, "beograd"] == ["default"]
+    assert langs[1, "belgrad"] == ["hr", "sr"] and langs[2, "ex"] == ["en"] and langs[1, "beograd"] == ["default"]
 
 
 def test_formats(spark):

@@ -241,10 +241,15 @@ def _with_hierarchies(loaded: DataFrame, loose: DataFrame, index: Index, zooms:
     rows = rows.withColumn("context", F.concat(F.array(item).cast(kind), F.col("context")))
     for extra in ("formats", "overrides"):
         if extra in loaded.columns:
-            rows = rows.withColumn("context", F.transform("context", lambda c, i, e=extra: c.withField(e, F.when(i == 0, F.col(e)))))
+            rows = rows.withColumn("context", F.transform("context", _of_first(extra)))
     return rows.drop("point_id", "own_loose")
 
 
+def _of_first(name: str) -> Callable[[Column, Column], Column]:
+    """Puts a row's column into the first element of an array, null into the others."""
+    return lambda c, i: c.withField(name, F.when(i == 0, F.col(name)))
+
+
 def _scored(rows: DataFrame, layers: list[Source], o: Options) -> DataFrame:
     """Adds verified (the relevance that the context bears out) and the scores lent by namesakes among the results."""
     inherit, grant, ignore = (_layer_flags(layers, f) for f in (lambda s: s.inherit_score, lambda s: s.grant_score, lambda s: s.ignore_order))
