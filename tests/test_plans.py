@@ -164,7 +164,7 @@ def test_stacks_and_reverse_only(spark):
 
 
 def test_ghosts_and_scores(spark):
-    index = made(spark, [Source("place", maxscore=100.0)], [doc("place", 1, "paris", 1, 1, 5.0), doc("place", 2, "paris", 40, 1, 90.0), doc("place", 3, "paris", 80, 1, -1.0), doc("place", 4, "lone", 20, 1, -1.0)])
+    index = made(spark, [Source("place", maxscore=100.0)], [doc("place", 1, "paris", 1, 1, 20.0), doc("place", 2, "paris", 40, 1, 90.0), doc("place", 3, "paris", 80, 1, -1.0), doc("place", 4, "lone", 20, 1, -1.0)])
     (a, b) = ask(spark, index, "paris", "lone", allow_dupes=True, **EXACT)
     assert [r.id for r in a] == ["place.2", "place.1"] and [r.id for r in b] == ["place.4"]
     (c,) = ask(spark, index, "paris", proximity=(1.0, 1.0), **EXACT)
