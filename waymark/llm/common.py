@@ -62,9 +62,10 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", co
     ``left`` has of it: keys of more than ``HOT_ROWS`` rows are counted, at most rows / HOT_ROWS of them, and spread over
     salts, each with its copy of the right rows. ``counts``: (key, n) of ``left``, if known."""
     n = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = materialize(n.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("__salts")), "hot")
-    if hot.isEmpty():
+    found = n.where(F.col("n") > HOT_ROWS).select(key, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("__salts"))
+    if found.isEmpty():
         return left.join(right, key, how)
+    hot = materialize(found, "hot")
     salts = small_or_shuffled(hot)
     spread = left.join(salts, key, "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__salts"))).otherwise(0).cast("int")).drop("__salts")
     copies = right.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")

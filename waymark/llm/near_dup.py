@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.llm import common
 from waymark.llm.common import arrow_map, hot_join, materialize, mix64, shingles, small_or_shuffled
 
 SIMILARITY = 0.8
@@ -212,21 +213,27 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder; only counts come to the driver."""
     spark = edges.sparkSession
     cur = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    now = cur.agg(F.count("*"), F.lit(None).cast("decimal(38,0)")).head()
     while True:
         back = cur.select(F.col("v").alias("u"), F.col("u").alias("v"))  # a node and its larger neighbours
-        degree = materialize(cur.unionByName(back).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")), "degrees")
-        large = hot_join(back, degree.select("u", "m"), "u", counts=degree.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cur.unionByName(back).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+        large = _joined(back, least, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every node's smaller neighbours, and the node, go to the least of them
-        large = materialize(large, "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
-        small = hot_join(large, low.select("u", "m"), "u", counts=low.select("u", "n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _joined(large, low, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         cur = materialize(small, "edges")
         # stable once the same edges come out twice
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
+        before, now = now, cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == before:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+
+
+def _joined(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Edges with their nodes' m, by salts if a node may have too many edges: not where there are too few edges in all."""
+    if n <= common.HOT_ROWS:
+        return edges.join(nodes.select("u", "m"), "u")
+    nodes = materialize(nodes, "nodes")
+    return hot_join(materialize(edges, "star"), nodes.select("u", "m"), "u", counts=nodes.select("u", "n"))
 
 
 def _rooted(ids: DataFrame, comps: DataFrame, id_col: str) -> DataFrame:
