@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
             conf.set(key, str(most))
 
     def run(batches):
+        forget_others(fn.__module__)
         try:
             yield from fn(batches)
         finally:
@@ -44,6 +46,17 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: What a worker remembers from task to task: module -> how it is dropped.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def forget_others(module: str) -> None:
+    """Drops what other operators remember: a worker keeps the caches of one at a time."""
+    for owner, drop in CACHES.items():
+        if owner != module:
+            drop()
+
+
 def give_back() -> None:
     """Returns freed memory of this process to the system, where the C library can."""
     pa.default_memory_pool().release_unused()

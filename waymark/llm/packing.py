@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.common import arrow_map, materialize, mix64
+from waymark.llm.common import CACHES, arrow_map, materialize, mix64
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -113,6 +113,7 @@ class WordIds:
 
 
 _IDS: dict[str, WordIds] = {}
+CACHES[__name__] = _IDS.clear
 
 
 def word_ids(path: str) -> WordIds:
