@@ -21,7 +21,7 @@ def namesakes(spark):
     "options, first",
     [
         (Options(bbox=(69.5, 9.0, 71.0, 11.0)), "street.70"), (Options(bbox=(69.5, 9.0, -170.0, 11.0)), "street.70"), (Options(types=["place"]), "place.1"), (Options(stacks=["us"]), "place.1"),
-        (Options(proximity=(70.0, 10.0)), "street.70"), (Options(proximity=(-50.0, 10.0)), "place.1"),
+        (Options(proximity=(69.0, 10.0)), "street.69"), (Options(proximity=(3.0, 10.0)), "street.3"),
     ],
 )
 def test_options_hold_before_the_best_targets_are_taken(spark, namesakes, options, first):
