@@ -105,17 +105,15 @@ def test_languages(spark):
         spark, [Source("country"), Source("place", languages=("es", "de", "ca"))],
         [doc("country", 1, "usa"), doc("place", 1, "new york", text_lang={"es": "nueva york", "de": "neuyork"})],
     )
-    (a,) = ask(spark, index, "nueva york usa", language=["es"], **EXACT)
+    (a,) = ask(spark, index, "nueva york usa", language=["es", "de"], **EXACT)
     assert (a[0].id, a[0].relevance, a[0].text, a[0].language, a[0].place_name) == ("place.1", 0.982963, "nueva york", "es", "nueva york, usa")
+    assert a[0].names["de"].text == "neuyork" and a[0].names["es"].place_name == "nueva york, usa"
     (b,) = ask(spark, index, "nueva york", language=["ca"], **EXACT)
     assert b[0].relevance == 1.0  # no ca text: the nearest language is asked for instead
-    (c,) = ask(spark, index, "nueva york", language=["es", "de"], **EXACT)
-    assert c[0].names["de"].text == "neuyork" and c[0].names["es"].place_name == "nueva york, usa"
     (d,) = ask(spark, index, "nueva york", **EXACT)
     assert (d[0].text, d[0].matching_text, d[0].matching_place_name) == ("new york", "nueva york", "nueva york, usa") and d[0].relevance < 1.0
-    (e,) = ask(spark, index, "new york usa", language=["de"], language_mode="strict", **EXACT)
-    assert e[0].place_name == "neuyork"  # usa has no German name
-    assert ask(spark, index, "usa", language=["de"], language_mode="strict", **EXACT) == [[]]
+    e, f = ask(spark, index, "new york usa", "usa", language=["de"], language_mode="strict", **EXACT)
+    assert e[0].place_name == "neuyork" and f == []  # usa has no German name
 
 
 def test_missing_languages_are_filled(spark):
@@ -132,16 +130,13 @@ def test_formats(spark):
     assert (a[0].place_name, b[0].place_name) == ("hanau (hesse)", "GIESSEN!")
     (c,) = ask(spark, index, "hanau", language=["de"], **EXACT)
     assert c[0].place_name == "Hessen: hanau"
-    (d,) = ask(spark, index, "hanau", language=["fr"], **EXACT)
-    assert d[0].place_name == "hanau (hesse)"
 
 
 def test_types_and_subtypes(spark):
     index = made(spark, [Source("place"), Source("poi", maxscore=10.0, scoreranges={"landmark": (0.5, 1.0)})], [doc("place", 1, "tower"), doc("poi", 1, "tower", score=9.0), doc("poi", 2, "tower", 40.0, 1.0, 2.0)])
     ids = lambda **o: sorted(r.id for r in ask(spark, index, "tower", allow_dupes=True, **EXACT, **o)[0])
-    assert ids(types=["poi.landmark"]) == ["poi.1"] and ids(types=["poi"]) == ["poi.1", "poi.2"] and ids(types=["place"]) == ["place.1"] and len(ids()) == 3
-    at = lambda p, **o: [r.id for r in around(spark, index, p, **o)[0]]
-    assert at((1, 1), types=["poi.landmark"]) == ["poi.1"] and at((40, 1), types=["poi.landmark"]) == [] and at((40, 1), types=["poi"]) == ["poi.2"]
+    assert ids(types=["poi.landmark"]) == ["poi.1"] and ids(types=["poi.landmark", "place"]) == ["place.1", "poi.1"]
+    assert [[r.id for r in x] for x in around(spark, index, (1, 1), (40, 1), types=["poi.landmark"])] == [["poi.1"], []]
     with pytest.raises(InvalidOption):
         ids(types=["poi.shop"])
 
@@ -149,7 +144,7 @@ def test_types_and_subtypes(spark):
 def test_worldviews(spark):
     index = made(spark, [Source("country-us", worldview="us", type="country"), Source("country-cn", worldview="cn", type="country"), Source("place")], [doc("country-us", 1, "disputed a"), doc("country-cn", 1, "disputed b"), doc("place", 1, "town")])
     names = lambda **o: ask(spark, index, "town", **EXACT, **o)[0][0].place_name
-    assert names() == names(worldview="us") == "town, disputed a" and names(worldview="cn") == "town, disputed b"
+    assert names() == "town, disputed a" and names(worldview="cn") == "town, disputed b"
     assert around(spark, index, (1, 1), worldview="cn")[0][0].place_name == "town, disputed b"
     with pytest.raises(InvalidOption):
         names(worldview="xx")
@@ -157,8 +152,10 @@ def test_worldviews(spark):
 
 def test_stacks_and_reverse_only(spark):
     index = made(spark, [Source("place", stack=("us", "ca"))], [doc("place", 1, "london", stack="us"), doc("place", 2, "london", 30.0, 1.0, stack="ca"), doc("place", 3, "paris", reverse_only=True), doc("place", 4, "rome", 50.0, 1.0, stack="us")])
-    ids = lambda q, **o: [r.id for r in ask(spark, index, q, allow_dupes=True, **EXACT, **o)[0]]
-    assert ids("london", stacks=["ca"]) == ["place.2"] and len(ids("london")) == 2 and ids("paris") == [] and ids("rome", stacks=["CA"]) == []
+    ids = lambda *q, **o: [[r.id for r in x] for x in ask(spark, index, *q, allow_dupes=True, **EXACT, **o)]
+    assert ids("london", "rome", stacks=["CA"]) == [["place.2"], []]
+    both, hidden = ids("london", "paris")
+    assert len(both) == 2 and hidden == []
     with pytest.raises(InvalidOption):
         ids("rome", stacks=["mars"])
 
@@ -210,8 +207,6 @@ def test_features_of_several_types(spark):
     """A place that is a region too leaves no room for another region."""
     sources = [Source("region"), Source("place", types=("region", "place")), Source("poi")]
     docs = [doc("region", 1, "old region"), doc("place", 1, "city state"), doc("poi", 1, "pier")]
-    (a,) = ask(spark, made(spark, sources, docs), "pier", **EXACT)
-    assert a[0].place_name in ("pier, city state, old region", "pier, city state")
     assert [r.id for r in around(spark, made(spark, sources, docs), (1, 1))[0]][:2] == ["poi.1", "place.1"]
 
 
