@@ -226,7 +226,9 @@ def _with_hierarchies(loaded: DataFrame, loose: DataFrame, index: Index, zooms:
     """Adds context: the target and, in every coarser layer, the feature at its place, one that the query names before any other; each with
     the best cover it has in any stack (loose)."""
     points = loaded.select(F.struct("query_id", "nth").alias("point_id"), F.col("lon").alias("plon"), F.col("lat").alias("plat"), F.col("idx").alias("own"), "strict")
-    met = ctx.candidates(points, index.place_rows().where(F.col("source").isin([s.name for s in index.layers])), zooms).where(F.col("idx") < F.col("own"))
+    # nothing lies above the finest layer: a place that many of its features share doesn't pair each of them with each
+    coarser = index.place_rows().where(F.col("source").isin([s.name for s in index.layers[:-1]]))
+    met = ctx.candidates(points, coarser, zooms).where(F.col("idx") < F.col("own"))
     named = met.withColumn("tmpid", bits.tmpid("idx", "id")).withColumn("query_id", F.col("point_id.query_id")).join(loose.select("query_id", "tmpid", "loose"), ["query_id", "tmpid"], "left")
     chosen = ctx.best_per_layer(named.withColumn("matched", F.map_contains_key("strict", F.col("tmpid")) | F.col("loose").isNotNull()))
     above = ctx.hierarchies(chosen, index.sources, ("loose",))
