@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
+
 #: Inside of a character class: white space and ASCII, general, supplemental and full-width punctuation.
 SEPARATORS = (
     r"\s\x{00A0}\x{FEFF}\x{1680}\x{3000}\x{2000}-\x{206F}\x{2E00}-\x{2E7F}\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E"
@@ -113,17 +115,21 @@ def mask_number_prefixes(col) -> Column:
 def number_variants(tokens) -> Column:
     """One copy of the tokens for each house number, with that number masked: array of struct(tokens, number,
     position)."""
-    t = _c(tokens)
-    at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: is_address(F.get(t, i)) & parse_semi_number(F.get(t, i)).isNotNull())
-    made = F.transform(
-        at,
-        lambda i: F.struct(
-            F.transform(t, lambda x, j: F.when(j == i, mask_number(parse_semi_number(x).cast("string"))).otherwise(x)).alias("tokens"),
-            F.get(t, i).alias("number"),
-            i.alias("position"),
-        ),
-    )
-    return F.when(F.size(t) > 0, made)
+
+    def variants(t: Column) -> Column:
+        number = lambda x: is_address(x) & parse_semi_number(x).isNotNull()
+        at = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: geo.let(F.get(t, i), number))
+        made = F.transform(
+            at,
+            lambda i: F.struct(
+                F.transform(t, lambda x, j: F.when(j == i, geo.let(parse_semi_number(x).cast("string"), mask_number)).otherwise(x)).alias("tokens"),
+                F.get(t, i).alias("number"),
+                i.alias("position"),
+            ),
+        )
+        return F.when(F.size(t) > 0, made)
+
+    return geo.let(_c(tokens), variants)
 
 
 def as_reverse(col) -> Column:

@@ -101,7 +101,8 @@ def op_replacement_variants(spark, d):
 @query("op_number_variants", "select c_custkey, 1 as n, case length(k) when 1 then '#' when 2 then '##' when 3 then k[1:1] || '##' else k[1:2] || repeat('#', length(k) - 2) end || ' main st' as text from (select c_custkey, c_custkey::varchar as k from customer)")
 def op_number_variants(spark, d):
     v = tx.number_variants(tx.tokenize(F.concat(F.col("c_custkey").cast("string"), L(" main st"))))
-    return table(spark, d, "customer").select("c_custkey", F.size(v).alias("n"), F.array_join(v[0]["tokens"], " ").alias("text"))
+    first = geo.let(v, lambda x: F.struct(F.size(x).alias("n"), F.array_join(x[0]["tokens"], " ").alias("text")))
+    return table(spark, d, "customer").select("c_custkey", first.alias("first")).select("c_custkey", "first.n", "first.text")
 
 
 @query("op_split_numbers", "select c_custkey, c_custkey || ' main' as a, c_custkey || 'th' as b from customer")
